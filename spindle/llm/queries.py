@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import mixing, packing, token_files, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_token_files": token_files.op3_token_files,
+    "op7_warc": warc.op7_warc,
+    "op8_mixing": mixing.op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_warc": warc.OP7_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+}
