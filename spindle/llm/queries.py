@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_files, warc
+from . import minhash, mixing, packing, token_files, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_token_files": token_files.op3_token_files,
+    "op6_minhash": minhash.op6_minhash,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE_SQL = {
+    "op6_minhash": minhash.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
