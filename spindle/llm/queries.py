@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, token_files, warc
+from . import minhash, mixing, packing, token_files, vectors, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_vectors": vectors.op2_vectors,
     "op3_token_files": token_files.op3_token_files,
     "op6_minhash": minhash.op6_minhash,
     "op7_warc": warc.op7_warc,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_vectors": vectors.OP2_SQL,
     "op6_minhash": minhash.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
