@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, token_files, vectors, warc
+from . import minhash, mixing, packing, token_files, topk, vectors, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_minhash": minhash.op6_minhash,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
+    "op10_topk": topk.op10_topk,
 }
 
 ORACLE_SQL = {
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op6_minhash": minhash.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op10_topk": topk.OP10_SQL,
 }
