@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, token_files, topk, toxicity, vectors, warc
+from . import minhash, mixing, packing, secrets, token_files, topk, toxicity, vectors, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_vectors": vectors.op2_vectors,
     "op3_token_files": token_files.op3_token_files,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_secrets": secrets.op5_secrets,
     "op6_minhash": minhash.op6_minhash,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
