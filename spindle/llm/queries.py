@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, secrets, token_files, topk, toxicity, vectors, warc
+from . import chat, minhash, mixing, packing, secrets, token_files, topk, toxicity, vectors, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_minhash": minhash.op6_minhash,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
+    "op9_chat": chat.op9_chat,
     "op10_topk": topk.op10_topk,
 }
 
@@ -21,5 +22,6 @@ ORACLE_SQL = {
     "op6_minhash": minhash.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op9_chat": chat.OP9_SQL,
     "op10_topk": topk.OP10_SQL,
 }
