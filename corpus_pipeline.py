@@ -7,6 +7,7 @@ the last, which returns pieces of token sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindle.llm import common, minhash, mixing, packing, secrets, tokens, toxicity
 
@@ -19,10 +20,16 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id, once."""
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    kept = common.materialize(found.filter("kept").select(found["doc_id"].alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_kept")
+    kept = common.materialize(kept, "kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]))
+    again = (F.col("_rows") > 1) & F.col("_kept").isNotNull()
+    out = rows.drop("_kept", "_rows")
+    if kept.filter(again).isEmpty():
+        return out
+    return rows.filter(~again).drop("_kept", "_rows").unionByName(rows.filter(again).dropDuplicates(["doc_id"]).drop("_kept", "_rows"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
