@@ -19,7 +19,7 @@ def load(files: DataFrame, fields: tuple = ("description", "category", "cost", "
 
 def shallow(files: DataFrame, depth: int = 3) -> DataFrame:
     """Files at most ``depth`` folders below the root of their path."""
-    return files.filter(F.size(F.split(F.ltrim(F.lit("/"), F.col("path")), "/")) - 1 <= depth)
+    return files.filter(F.size(F.split(F.ltrim(F.col("path"), F.lit("/")), "/")) - 1 <= depth)
 
 
 def resolve(personal: DataFrame, base: DataFrame, prefer: str = "personal") -> DataFrame:

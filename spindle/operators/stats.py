@@ -99,8 +99,8 @@ def ols(df: DataFrame, y: str, xs: list[str], intercept: bool = True, absorbed:
     inverse = np.linalg.inv(m[:k, :k])
     beta = inverse @ m[:k, k]
     rest = m[k, k] - beta @ m[:k, k]
-    se = np.sqrt(np.diag(inverse) * rest / (got["n"] - k - absorbed))
-    return [{"term": n, "estimate": float(b), "std_error": float(s), "t": float(b / s), "low": float(b - 1.96 * s), "high": float(b + 1.96 * s)} for n, b, s in zip(names, beta, se)]
+    se = np.sqrt(np.maximum(np.diag(inverse) * rest / (got["n"] - k - absorbed), 0))
+    return [{"term": n, "estimate": float(b), "std_error": float(s), "t": float(b / s) if s else float("inf"), "low": float(b - 1.96 * s), "high": float(b + 1.96 * s)} for n, b, s in zip(names, beta, se)]
 
 
 def fixed_effects(df: DataFrame, by: str, y: str, xs: list[str]) -> list[dict]:
