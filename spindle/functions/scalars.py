@@ -128,5 +128,5 @@ def isbn_valid(code: Column) -> Column:
 
 
 def adjusted(value: str, factor: str, order) -> Column:
-    """A price times the product of all later factors (exact for products that a double holds)."""
-    return F.col(value) * F.exp(F.coalesce(F.sum(F.log(factor)).over(order), F.lit(0.0)))
+    """A price times the product of all later factors; ``order`` holds the rows after the current one."""
+    return F.col(value) * F.coalesce(F.product(factor).over(order), F.lit(1.0))
