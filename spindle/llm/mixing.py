@@ -101,7 +101,7 @@ def mix_documents(docs: DataFrame, *, weights: tuple = WEIGHTS, ratio: float = 1
     Documents without words are not taken. A cut copy keeps its first words with the space before each.
     """
     names = docs.columns
-    own = {"size": "_size", "mix_key": "_mix_key", "source_size": "_source_size", "target": "_target", "taken": "_taken", "plan_source": "_plan_source"}
+    own = {c: f"_{c}" for c in ("size", "mix_key", "source_size", "target", "taken", "plan_source", "whole", "rest", "cut_bucket", "cut_before", "_copy")}
     held = docs.withColumnsRenamed({k: f"_own{v}" for k, v in own.items() if k in names})
     plan = plan_sources(common.materialize(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes"), weights, ratio, epochs)
     rows = take(sized(held, seed), plan)
@@ -110,7 +110,7 @@ def mix_documents(docs: DataFrame, *, weights: tuple = WEIGHTS, ratio: float = 1
     rows = rows.withColumn("_copy", F.explode(copies))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"{_SPACE}*{common.WORD}"), F.lit(0)), F.lit(1), F.col("_copy").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("_copy") > 0, first).otherwise(F.col("text")))
-    rows = rows.drop("_copy", *own).withColumnsRenamed({f"_own{v}": k for k, v in own.items() if k in names})
+    rows = rows.drop(*own).withColumnsRenamed({f"_own{v}": k for k, v in own.items() if k in names})
     return rows.select(*names)
 
 
