@@ -9,7 +9,8 @@ At a similarity of 0.8 a hash differs with probability 0.2, and more than 30 of
 than one pair in a million. Links are then confirmed on the full sets of shingles.
 
 Equal sets are one class from the start. A bucket's members are compared with its smallest member
-first; only members that this leaves in different components are compared with each other.
+first. Members that this leaves in different components are compared with each other in blocks, but
+for those with too many shingles that no other such member has: they can't be linked to any.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .vectors import _groups
 
 HASHES, CHUNKS, LANES, DISTANCE = 64, 16, 4, 30
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), else joined.
@@ -34,6 +36,7 @@ _A = _draw.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _draw.integers(0, 2**63, HASHES, np.uint64)
 _PLACE = _draw.integers(0, 2**63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.arange(LANES, dtype=np.uint64) * np.uint64(16)
+_NIBBLES = np.arange(16, dtype=np.uint64) * np.uint64(4)
 
 
 class _WordHashes(dict):
@@ -67,16 +70,18 @@ def shingles(text: str, k: int) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The chunks of the signature of a set, as 64-bit integers."""
+    """The chunks of the signature of a set as 64-bit integers, then the low nibbles of its hashes in four."""
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 4096):
         low = np.minimum(low, (found[at : at + 4096, None] * _A + _B).min(axis=0))
-    lanes = (low & np.uint64(0xFFFF)).reshape(CHUNKS, LANES)
-    return (lanes << _SHIFTS).sum(axis=1, dtype=np.uint64).view(np.int64)
+    chunks = ((low & np.uint64(0xFFFF)).reshape(CHUNKS, LANES) << _SHIFTS).sum(axis=1, dtype=np.uint64)
+    nibbles = ((low & np.uint64(0xF)).reshape(4, 16) << _NIBBLES).sum(axis=1, dtype=np.uint64)
+    return np.concatenate([chunks, nibbles]).view(np.int64)
 
 
-_CHUNK = [f"c{i}" for i in range(CHUNKS)]
-_SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in _CHUNK)
+_CHUNK, _NIBBLE = [f"c{i}" for i in range(CHUNKS)], [f"q{i}" for i in range(4)]
+_SIGNATURE = [*_CHUNK, *_NIBBLE]
+_SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in _SIGNATURE)
 
 
 def _sign(k: int):
@@ -90,8 +95,8 @@ def _sign(k: int):
                 sigs.append(signature(found))
             if sizes:
                 prints, sigs = np.stack(prints), np.stack(sigs)
-                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *(pa.array(np.ascontiguousarray(sigs[:, i])) for i in range(CHUNKS))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f1", "f2", *_CHUNK])
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *(pa.array(np.ascontiguousarray(sigs[:, i])) for i in range(len(_SIGNATURE)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f1", "f2", *_SIGNATURE])
 
     return run
 
@@ -118,13 +123,17 @@ def _keys(distance: int) -> Column:
 
 
 def _differs(a: str, b: str) -> Column:
-    """In how many hashes two signatures differ: each 16-bit lane of the xor is folded to its lowest bit."""
+    """In how many low nibbles two signatures differ, which is never more than in how many hashes.
+
+    Each nibble of the xor is folded to its lowest bit. The expression is short on purpose: the JVM
+    doesn't compile the code of long ones, and it is evaluated for every pair that shares a bucket.
+    """
     total = F.lit(0)
-    for c in _CHUNK:
+    for c in _NIBBLE:
         x = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
-        for shift in (8, 4, 2, 1):
+        for shift in (2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001).cast("long")))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111).cast("long")))
     return total
 
 
@@ -163,6 +172,93 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return common.materialize(full.select("a", "b", "ta", "tb").mapInArrow(_similar(k, percent), "a long, b long"), "links")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select(F.col("key").alias("k"))
+    return rows.join(several, F.col("key") == F.col("k")).drop("k")
+
+
+def _spread(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = shingles(text.as_py(), k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found)], ["id", "h"])
+
+    return run
+
+
+def _linkable(ids: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the documents ``ids`` (rep), those that can be similar enough to another of them.
+
+    A shingle that only one of them has is in no intersection; a document needs enough others.
+    """
+    ids = common.materialize(ids.select(F.col("rep").alias("i")), "mixed-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    found = texts.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").mapInArrow(_spread(k), "id long, h long")
+    alone = found.groupBy("h").agg(F.count("*").alias("m"), F.min("id").alias("only")).filter("m = 1").groupBy("only").agg(F.count("*").alias("alone"))
+    of = classes.select(F.col("rep").alias("r"), "n").join(wanted, F.col("r") == F.col("i"), "left_semi").join(alone, F.col("r") == F.col("only"), "left")
+    return of.filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("r")
+
+
+def _compare(k: int, percent: int):
+    """Links between the members of a cluster's two blocks (or one); few, but they span what is linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            rep, comp, own, i, j = (group.column(c).to_numpy() for c in ("rep", "comp", "own", "i", "j"))
+            sets = [shingles(t.as_py(), k) for t in group.column("text").combine_chunks()]
+            size = np.array([len(x) for x in sets])
+            at = np.repeat(np.arange(len(sets)), size)
+            _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            several = held[column] > 1
+            at, column = at[several], np.unique(column[several], return_inverse=True)[1]
+            order = np.argsort(column, kind="stable")
+            at, column = at[order], column[order]
+            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            both = np.zeros((len(x), len(y)), np.float32)
+            for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):  # the intersections, some shingles at a time
+                a, b = np.searchsorted(column, (low, low + 2048))
+                there = np.zeros((len(sets), 2048), np.float32)
+                there[at[a:b], column[a:b] - low] = 1
+                both += there[x] @ there[y].T
+            linked = 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
+            p, q = np.nonzero(linked & (comp[x][:, None] != comp[y][None, :]))
+            p, q = x[p], y[q]
+            label = np.unique(comp, return_inverse=True)[1]
+            kept = []
+            for n in range(len(p)):
+                one, other = label[p[n]], label[q[n]]
+                if one != other:
+                    kept.append(n)
+                    label[label == other] = one
+            yield pa.RecordBatch.from_arrays([pa.array(rep[p[kept]], pa.int64()), pa.array(rep[q[kept]], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _compare_rest(rows: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
+    """Links between members (key, rep, comp) of the same bucket in different components.
+
+    Components that share buckets are clustered, and each cluster is compared in blocks: a text is
+    sent once for each block of its cluster, and no pairs leave a block but links that join components.
+    """
+    low = rows.groupBy("key").agg(F.min("comp").alias("low")).withColumnRenamed("key", "k")
+    edges = rows.join(low, F.col("key") == F.col("k")).filter("comp <> low").select(F.col("low").alias("a"), F.col("comp").alias("b"))
+    clusters = common.materialize(components(edges), "clusters")
+    members = rows.select("rep", "comp").distinct().join(clusters, F.col("comp") == F.col("node")).select("rep", "comp", F.col("component").alias("cluster"))
+    members = common.materialize(members, "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).withColumnRenamed("cluster", "c")
+    members = members.join(sizes, F.col("cluster") == F.col("c")).drop("c").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    ids = members.select(F.col("rep").alias("i"))
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = texts.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").dropDuplicates(["doc_id"])
+    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    tasks = members.join(texts, F.col("rep") == F.col("doc_id")).select("cluster", F.inline(pairs), "own", "rep", "comp", "text")
+    tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
+    return common.materialize(tasks.mapInArrow(_compare(k, percent), "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs`` (doc_id, text).
 
@@ -175,15 +271,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, dis
     common.ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     signed = common.materialize(texts.mapInArrow(_sign(shingle), _SIGNED), "signatures")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _CHUNK])
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in _SIGNATURE])
     classes = common.materialize(classes, "classes")
 
     keys = classes.select("rep", F.explode(_keys(distance)).alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("bucket"), "leader")
     shared = common.materialize(keys.join(buckets, F.col("key") == F.col("bucket")).select("key", "rep", "leader"), "buckets")
 
-    sigs = classes.select("rep", *_CHUNK)
-    side = lambda p: sigs.toDF(*[p + c for c in ("rep", *_CHUNK)])
+    sigs = classes.select("rep", *_NIBBLE)
+    side = lambda p: sigs.toDF(*[p + c for c in ("rep", *_NIBBLE)])
     star = shared.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     star = star.join(side("x"), F.col("b") == F.col("xrep")).join(side("y"), F.col("a") == F.col("yrep"))
     star = star.filter(_differs("x", "y") <= distance).select("a", "b")
@@ -191,14 +287,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, dis
     found = common.materialize(components(links), "components")
 
     rows = shared.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("comp"))
-    rows = common.materialize(rows, "labelled")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select(F.col("key").alias("k"))
-    rows = rows.join(mixed, F.col("key") == F.col("k")).join(sigs.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"))
-    rows = common.materialize(rows.select("key", "rep", "leader", "comp", *_CHUNK), "mixed")
-    x, y = rows.toDF(*["x" + c for c in rows.columns]), rows.toDF(*["y" + c for c in rows.columns])
-    met = (F.col("xkey") == F.col("ykey")) & (F.col("xrep") < F.col("yrep")) & (F.col("xcomp") != F.col("ycomp")) & (F.col("xrep") != F.col("xleader"))
-    rest = x.join(y, met & (_differs("x", "y") <= distance)).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
-    more = _confirm(rest, texts, shingle, percent)
+    rows = common.materialize(_mixed(common.materialize(rows, "labelled")), "mixed")
+    live = common.materialize(_linkable(rows.select("rep").distinct(), classes, texts, shingle, percent), "linkable")
+    rows = common.materialize(_mixed(rows.join(live, F.col("rep") == F.col("r"), "left_semi")), "mixed")
+    more = _compare_rest(rows.select("key", "rep", "comp"), texts, shingle, percent)
     if not more.isEmpty():
         found = common.materialize(components(links.unionByName(more)), "components")
 
