@@ -125,7 +125,7 @@ def _pack(path: str, end_id: int, capacity: int, max_piece: int, block_windows:
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, *, capacity: int = 4096, max_piece: int = 512, block_windows: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, *, capacity: int = 4096, max_piece: int = 512, block_windows: int = 128) -> DataFrame:
     """Pieces of documents placed in sequences of at most ``capacity`` ids.
 
     Each row of ``docs`` is a document, also where ids repeat or are null. A null text counts as
