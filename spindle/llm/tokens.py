@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-
-import numpy as np
+from array import array
 
 #: Unicode White_Space, as the tokenizers' patterns read \s.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -18,7 +17,12 @@ _WS = "\t-\r \x85\xa0  -     　"
 _LED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _BARE = re.compile(f"[^{_WS}]+")
 
-CACHE_ENTRIES = 600_000
+#: Byte-level tokenizers write a byte that isn't a visible Latin-1 character as one from 256 on, in order.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+#: Pieces in each of the cache's two generations.
+CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
 
 
@@ -45,19 +49,39 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.old: dict[str, bytes] = {}
         self.pattern = _cutter(json.loads(self.tokenizer.to_str())) if cut else None
 
+    def _ids(self, piece: str) -> bytes:
+        """The ids of a piece. What both kinds of pre-tokenizer leave as it is goes to the model at once."""
+        body = piece[1:] if piece[0] == " " else piece
+        if not body.isalpha() or not body.isascii() and max(body) > "\xff":
+            if len(body) > 1 and body[-1] in ".,;:!?" and body[:-1].isalpha() and max(body) <= "\xff":
+                return self[piece[:-1]] + self[body[-1]]  # letters and punctuation are always cut apart
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if self.pattern is _BARE and (low := piece.lower()) != piece:
+            return self[low]
+        if piece.isascii():
+            mapped = "\u0120" + body if body is not piece else piece
+        else:
+            mapped = piece.encode().decode("latin1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self._ids(piece)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= CACHE_ENTRIES:  # pieces that are still used move on from the old generation
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if self.pattern is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
 
