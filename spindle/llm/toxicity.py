@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     learned = _select(stems, (0, 1))
     rows = sample.select("text", "toxic", "half", "draw").mapInArrow(_featured((_select(stems, (0,)), _select(stems, (1,)))), "toxic int, draw int, x array<double>").collect()
     y, draw = np.array([r.toxic for r in rows], float), np.array([r.draw for r in rows])
-    x = np.array([r.x for r in rows], float).reshape(len(rows), -1)
+    x = np.array([r.x for r in rows], float).reshape(len(rows), len(NAMES))
     order = np.lexsort((*x.T, y, draw)) if len(rows) else np.empty(0, int)
     x, y, draw = x[order], y[order], draw[order]
     fitted = draw != 0
