@@ -22,7 +22,7 @@ _VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 #: Pieces in each of the cache's two generations.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 450_000
 CACHE_CHARS = 48
 
 
