@@ -1,12 +1,15 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Each pass orders the vectors by 64 concatenated signs of random projections and compares every
-vector with the next ``WINDOW`` ones. Two vectors at the threshold stand close together in a pass
-with the probability that their first log2(n / window) signs agree; the number of passes follows
-from it, so that a linked pair is missed by all passes with probability ``MISS`` at most. Pairs that
-a pass verifies are united across passes. Equal vectors are one class from the start.
-
-A component can be larger than a window, so its links are then counted exactly: its members are
+"""Near-duplicate vectors by random projection passes.
+
+In each pass the signs of a few random projections put every vector in a cell, and all vectors of a
+cell are compared. There are log2(n / window) signs, rounded down, so that a cell has one or two
+windows of vectors where they are spread evenly. Two vectors at the threshold share a cell with a
+probability that depends on their angle alone, so the number of passes in which a linked pair shares
+no cell with probability ``MISS`` at most holds for any data. Where vectors crowd together cells
+grow: those of more than a block are compared in blocks, and vectors that are in a cell of more than
+``CROWD`` blocks in any pass are compared with all others of that kind instead, once. Pairs that a
+comparison verifies are united across passes. Equal vectors are one class from the start.
+
+A component can be larger than a cell, so its links are then counted exactly: its members are
 compared in blocks, and only counts leave a block, never pairs.
 """
 
@@ -18,14 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 WINDOW, BLOCK, MISS, SEED = 512, 2048, 1e-3, 20240229
+CROWD = 4
 
 
 def passes_for(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
@@ -64,35 +67,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _project(passes: int, seed: int):
+def _project(passes: int, bits: int, seed: int):
+    """The cell of each vector in each pass: its signs as a number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
-        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)[::-1]
+        weights = 1 << np.arange(bits, dtype=np.int64)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 for at, x in _rows(pa.concat_arrays([batch.column(1)])):
                     d = x.shape[1]
                     if d not in known:
-                        known[d] = np.random.Generator(np.random.PCG64([seed, d])).standard_normal((d, passes * 64))
-                    bits = (_unit(x) @ known[d] > 0).reshape(len(at), passes, 64)
-                    keys = (bits * weights).sum(axis=2, dtype=np.uint64) ^ np.uint64(1 << 63)
+                        known[d] = np.random.Generator(np.random.PCG64([seed, d])).standard_normal((d, passes * bits))
+                    signs = (_unit(x) @ known[d] > 0).reshape(len(at), passes, bits)
+                    cells = (signs * weights).sum(axis=2, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(batch.column(0).to_numpy()[at], passes)), pa.array(np.full(len(at) * passes, d, np.int32)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(at))), pa.array(np.ascontiguousarray(keys.reshape(-1)).view(np.int64))],
-                        ["rep", "dim", "pass", "key"],
+                        [pa.array(np.repeat(batch.column(0).to_numpy()[at], passes)), pa.array(np.full(len(at) * passes, d, np.int32)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(at))), pa.array(np.ascontiguousarray(cells.reshape(-1)))],
+                        ["rep", "dim", "pass", "cell"],
                     )
 
     return run
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, part = 0, TaskContext.get().partitionId()
-    for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], ["rep", "dim", "pass", "part", "idx"])
-        at += n
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows that are equal in the first ``keys`` columns, from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -113,31 +110,35 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _windows(threshold: float, window: int):
-    """Compares each vector of a block with the next ones; emits links that span what it found."""
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest position of its set) after uniting the sets of all pairs."""
+    while True:
+        apart = label[i] != label[j]
+        if not apart.any():
+            return label
+        i, j = i[apart], j[apart]
+        a, b = label[i], label[j]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _compare(threshold: float):
+    """Compares the vectors of a cell's two blocks (or one); emits links that span what it found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _groups(batches, 3):
-            rep = block.column("rep").to_numpy()
-            unit = _unit(_rows(block.column("embedding").combine_chunks())[0][1])
-            own = int((block.column("halo").to_numpy() == 0).sum())
+        for group in _groups(batches, 5):
+            rep, own, i, j = (group.column(c).to_numpy() for c in ("rep", "own", "i", "j"))
+            unit = _unit(_rows(group.column("embedding").combine_chunks())[0][1])
+            x = np.flatnonzero(own == i)
+            y = x if i[0] == j[0] else np.flatnonzero(own == j)
             label = np.arange(len(rep))
-            a, b = [], []
-            for lo in range(0, own, window):
-                hi, top = min(lo + window, own), min(lo + 2 * window, len(rep))
-                i, j = np.nonzero(unit[lo:hi] @ unit[lo:top].T >= threshold)
-                near = (j > i) & (j - i <= window)
-                a.append(i[near] + lo)
-                b.append(j[near] + lo)
-            i, j = np.concatenate(a or [label[:0]]), np.concatenate(b or [label[:0]])
-            while len(i):
-                low = np.minimum(label[i], label[j])
-                before = label.copy()
-                np.minimum.at(label, i, low)
-                np.minimum.at(label, j, low)
-                label = label[label]
-                if (label == before).all():
-                    break
+            for lo in range(0, len(x), 256):
+                rest = y[lo:] if i[0] == j[0] else y
+                a, b = np.nonzero(unit[x[lo : lo + 256]] @ unit[rest].T >= threshold)
+                label = _join(label, x[lo : lo + 256][a], rest[b])
             joined = np.flatnonzero(label != np.arange(len(rep)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[label[joined]]), pa.array(rep[joined])], ["a", "b"])
 
@@ -183,22 +184,25 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.9, window
     classes = common.materialize(classes, "vector-classes")
     reps = printed.join(classes.select("rep", "size"), F.col("vec_id") == F.col("rep"), "left_semi").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("rep"), "embedding")
     reps = common.materialize(reps, "vector-reps")
-    passes = passes_for(classes.count(), threshold, window, miss)
-
-    keyed = reps.mapInArrow(_project(passes, seed), "rep long, dim int, pass int, key long")
-    placed = keyed.repartitionByRange("dim", "pass", "key", "rep").sortWithinPartitions("dim", "pass", "key", "rep")
-    placed = common.materialize(placed.select("rep", "dim", "pass").mapInArrow(_place, "rep long, dim int, pass int, part int, idx long"), "placed")
-    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("part").alias("p"), start.alias("start"))
-    at = F.col("start") + F.col("idx")
-    ranked = placed.join(starts, F.col("part") == F.col("p")).select("dim", "pass", "rep", at.alias("at"))
-    home = F.floor(F.col("at") / block)
-    spots = F.when((home > 0) & (F.col("at") % block < window), F.array(F.struct(home.alias("block"), F.lit(0).alias("halo")), F.struct((home - 1).alias("block"), F.lit(1).alias("halo")))).otherwise(F.array(F.struct(home.alias("block"), F.lit(0).alias("halo"))))
-    spread = ranked.select("dim", "pass", "rep", "at", F.inline(spots))
-    blocks = spread.join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("dim", "pass", "block", "at", "halo", "rep", "embedding")
-    blocks = blocks.repartition("dim", "pass", "block").sortWithinPartitions("dim", "pass", "block", "at")
-    links = common.materialize(blocks.mapInArrow(_windows(threshold, window), "a long, b long").distinct(), "vector-links")
+    n = classes.count()
+    bits = max(0, math.floor(math.log2(max(n, 1) / window)))
+    passes = passes_for(n, threshold, window, miss) if bits else 1
+
+    keyed = common.materialize(reps.mapInArrow(_project(passes, bits, seed), "rep long, dim int, pass int, cell long"), "vector-cells")
+    blocks = F.ceil(F.count("*") / block).cast("int")
+    large = keyed.groupBy("dim", "pass", "cell").agg(blocks.alias("nb")).filter("nb > 1")
+    large = common.materialize(large, "large-cells").select(F.col("dim").alias("ld"), F.col("pass").alias("lp"), F.col("cell").alias("lc"), "nb")
+    keyed = keyed.join(large, (F.col("dim") == F.col("ld")) & (F.col("pass") == F.col("lp")) & (F.col("cell") == F.col("lc")), "left")
+    keyed = keyed.select("rep", "dim", "pass", "cell", F.coalesce("nb", F.lit(1)).alias("nb"))
+    crowd = common.materialize(keyed.filter(F.col("nb") > CROWD).select("rep", "dim").distinct(), "vector-crowd")
+    wide = crowd.groupBy("dim").agg(F.ceil(F.count("*") / (CROWD * block)).cast("int").alias("nb")).withColumnRenamed("dim", "wd")
+    crowd = crowd.join(wide, F.col("dim") == F.col("wd")).select("rep", "dim", F.lit(-1).alias("pass"), F.lit(0).cast("long").alias("cell"), "nb")
+    keyed = keyed.filter(F.col("nb") <= CROWD).unionByName(crowd).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    spread = keyed.select("dim", "pass", "cell", F.inline(pairs), "own", "rep")
+    cells = spread.join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("dim", "pass", "cell", "i", "j", "own", "rep", "embedding")
+    cells = cells.repartition("dim", "pass", "cell", "i", "j").sortWithinPartitions("dim", "pass", "cell", "i", "j", "rep")
+    links = common.materialize(cells.mapInArrow(_compare(threshold), "a long, b long").distinct(), "vector-links")
     found = common.materialize(components(links), "vector-components")
 
     count = found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).withColumnRenamed("component", "c")

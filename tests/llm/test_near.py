@@ -90,6 +90,27 @@ def test_near_vectors(spark):
         assert all(r.kept == (i == want[i]) for i, r in got.items())
 
 
+def test_near_vectors_in_a_crowded_region(spark):
+    """Planted pairs in a large cluster have no other links, so each must be found for itself."""
+    r = np.random.Generator(np.random.PCG64(11))
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(r.standard_normal(64))
+    rest = lambda n: unit((x := r.standard_normal((n, 64))) - np.outer(x @ centre, centre))
+    hot = np.sqrt(0.7) * centre + np.sqrt(0.3) * rest(3000)
+    off = unit((o := rest(400)) - (o * (e := unit(hot[:400] - np.sqrt(0.7) * centre))).sum(axis=1, keepdims=True) * e)
+    c = (0.9001 - 0.7) / 0.3
+    twins = np.sqrt(0.7) * centre + np.sqrt(0.3) * (c * e + np.sqrt(1 - c * c) * off)
+    x = np.concatenate([hot, twins, r.standard_normal((6000, 64))])
+    u = unit(x)
+    linked = [(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(u @ u.T >= 0.9))) if a < b]
+    assert {(i, 3000 + i) for i in range(400)} <= set(linked)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    for block in (2048, 64):  # cells of one block, and crowds
+        got = {q.vec_id: q for q in vectors.near_duplicate_vectors(df, window=16, block=block).collect()}
+        lost = [p for p in linked if got[p[0]].component_id != got[p[1]].component_id]
+        assert len(lost) <= 2, (len(lost), len(linked))
+
+
 def test_odd_vector_tables(spark):
     kind = "label int, vec_id long, embedding array<float>, size long"
     assert vectors.near_duplicate_vectors(spark.createDataFrame([], kind)).count() == 0
