@@ -72,6 +72,12 @@ def section_extract(spark, d):
     return docs.select("doc_id", tx.section(F.col("x"), "Item 1").alias("section"))
 
 
+@query("WITH t AS (SELECT doc_id, 'Item 1. Business ' || text || ' Item 1A. Risk' AS x FROM documents) SELECT doc_id, trim(regexp_extract(x, '(?is)Item\\s+1\\.?\\s+Business(.*?)Item\\s+1A', 1), ' ' || chr(9) || chr(10) || chr(13)) AS section FROM t")
+def section_extract_whole(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Item 1. Business "), F.col("text"), F.lit(" Item 1A. Risk")).alias("x"))
+    return docs.select("doc_id", tx.section(F.col("x"), "Item 1").alias("section"))
+
+
 @query(None)
 def smartquote_diff(spark, d):
     docs = table(spark, d, "documents")

@@ -216,3 +216,12 @@ def test_notebooks(spark):
     nb = json.dumps({"cells": [{"cell_type": "code", "execution_count": 1, "outputs": [{"output_type": "error", "ename": "E"}]}, {"cell_type": "code", "execution_count": None, "outputs": []}, {"cell_type": "markdown"}]})
     got = [tuple(r)[1:] for r in quality.notebook_cells(spark.createDataFrame([("n", nb)], "path string, value string")).collect()]
     assert got == [(0, "code", 1, True), (1, "code", 0, False), (2, "markdown", 0, False)]
+
+
+def test_sections_hold_whole_texts(spark, tmp_path):
+    from spindle.plans import documents as plans
+
+    docs = [(1, "word " * 500 + "end"), (2, "short"), (3, None), (4, "a\nb " * 30 + "last")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.section for r in plans.section_extract_whole(spark, str(tmp_path)).collect()}
+    assert got == dict(docs)
