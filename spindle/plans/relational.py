@@ -207,6 +207,14 @@ def event_windows(spark, d):
     return rel.range_join(e, h, "a", "day", "until").select("day", "event_id")
 
 
+@query("""WITH h AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
+ SELECT h.day, e.event_id FROM h JOIN (SELECT event_id, CAST(ts AS DATE) AS a FROM events) e ON e.a BETWEEN h.day AND h.day + 3""", dates=('day',))
+def event_windows_all(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("date").alias("a"))
+    h = e.select(F.col("a").alias("day")).distinct().withColumn("until", F.date_add("day", 3))
+    return rel.range_join(e, h, "a", "day", "until").select("day", "event_id")
+
+
 @query("""WITH a AS (SELECT date_trunc('month', o_orderdate)::DATE AS m, count(*) AS orders FROM orders GROUP BY 1), b AS (SELECT date_trunc('month', l_shipdate)::DATE AS m, count(*) AS lines FROM lineitem GROUP BY 1)
  SELECT a.m, orders, lines FROM a JOIN b ON a.m = b.m""", dates=('m',))
 def month_key_join(spark, d):

@@ -218,6 +218,19 @@ def test_notebooks(spark):
     assert got == [(0, "code", 1, True), (1, "code", 0, False), (2, "markdown", 0, False)]
 
 
+def test_event_windows_of_all_days(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from spindle.plans import relational as plans
+
+    events = [(n, datetime(2024, 1, 27) + timedelta(days=n % 9 + n % 2, hours=n)) for n in range(1, 60)] + [(60, None)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    days = {t.date() for _, t in events if t}
+    want = sorted((str(d), n) for d in days for n, t in events if t and d <= t.date() <= d + timedelta(days=3))
+    got = sorted((str(r.day), r.event_id) for r in plans.event_windows_all(spark, str(tmp_path)).collect())
+    assert got == want and {d for d, _ in got} == set(map(str, days))
+
+
 def test_sections_hold_whole_texts(spark, tmp_path):
     from spindle.plans import documents as plans
 
