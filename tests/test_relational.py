@@ -218,6 +218,25 @@ def test_notebooks(spark):
     assert got == [(0, "code", 1, True), (1, "code", 0, False), (2, "markdown", 0, False)]
 
 
+def test_fuzzy_names_are_all_matched(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from spindle.plans import relational as plans
+
+    words = ("blue", "Blue", "old", "cold"), ("ring", "rings", "bolt", "plate", "Bolt x")
+    parts = [(n, f"{a} {b}") for n, (a, b) in enumerate([(a, b) for a in words[0] for b in words[1]] * 3, 1)] + [(90, None), (91, "  ring"), (92, "")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r.name, r.p_partkey, round(r.ratio, 9)) for r in plans.fuzzy_names(spark, str(tmp_path)).collect())
+    want = []
+    for name in {n for _, n in parts if n is not None}:
+        for key, other in parts:
+            if other is not None and name.upper().split()[:1] == other.upper().split()[:1]:
+                ratio = SequenceMatcher(None, name.upper(), other.upper()).ratio()
+                if ratio >= 0.7:
+                    want.append((name, key, round(ratio, 9)))
+    assert got == sorted(want) and max(k for _, k, _ in got) > 20
+
+
 def test_event_windows_of_all_days(spark, tmp_path):
     from datetime import datetime, timedelta
 
