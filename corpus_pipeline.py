@@ -20,16 +20,23 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id, once."""
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    kept = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_kept")
+    """One document of each group of near-duplicates stays: the one with the smallest id, once.
+
+    Rows with the same id and different texts are different documents; those without an id all stay.
+    """
+    found = common.materialize(minhash.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "kept")
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).drop("_kept")
+    rows = docs.withColumn("_text", F.sha2(F.col("text").cast("binary"), 256))
+    known = rows.filter("doc_id is not null").dropDuplicates(["doc_id", "_text"])
+    keys = known.select("doc_id", "_text", "text").orderBy("doc_id", "_text").withColumn("_key", F.monotonically_increasing_id())
+    keys = common.materialize(keys, "keys")
+    found = minhash.near_duplicates(keys.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80)
+    kept = keys.join(found.filter("kept").select(F.col("doc_id").alias("_key")), "_key").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
     kept = common.materialize(kept, "kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]))
-    again = (F.col("_rows") > 1) & F.col("_kept").isNotNull()
-    out = rows.drop("_kept", "_rows")
-    if kept.filter(again).isEmpty():
-        return out
-    return rows.filter(~again).drop("_kept", "_rows").unionByName(rows.filter(again).dropDuplicates(["doc_id"]).drop("_kept", "_rows"))
+    out = known.join(kept, (F.col("doc_id") == F.col("_id")) & F.col("_text").eqNullSafe(F.col("_hash"))).drop("_id", "_hash")
+    return out.unionByName(rows.filter("doc_id is null")).drop("_text")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_stages(spark, sf_dir):
     assert max(np.bincount(np.unique([r.sequence_id for r in steps["packing"]], return_inverse=True)[1], [r.length for r in steps["packing"]])) <= 4096
 
 
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    r = random.Random(4)
+    a, b, c = (" ".join("".join(r.choice("abcdeilnorst") for _ in range(6)) for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (5, b), (5, c), (5, b), (7, a + " end"), (7, "a text of its own that has no twin at all"), (9, c), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.keep_one_of_each(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (5, b), (5, c), (7, rows[5][1]), (None, a), (None, a)]
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_run_is_the_stages_in_turn(spark, sf_dir):
     got = pipeline.run(spark, sf_dir)
     assert got.columns == [f.split()[0] for f in packing.SCHEMA.split(", ")] and got.count() > 0
