@@ -139,7 +139,8 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """User turns as calls of a tool ``ask`` and assistant turns as their results.
 
     A user turn is the call ``conversation:turn``; it depends on the one two turns before, and the
-    assistant's next turn is its result. Rows without conversation or turn are left out.
+    assistant's next turn is its result. Rows without conversation or turn are left out, and so are
+    turns of other roles (system) and assistant turns without a user turn right before them.
     """
     rows = conversations.filter("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", common.text_or_empty().alias("text"))
     call = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
