@@ -1,9 +1,10 @@
 """Secrets in text: base patterns, and a linear-chain conditional random field that adds spans.
 
-The field tags tokens as begin, inside or outside of a secret. Most tokens can't be part of one:
-a token that isn't a run of at least eight key characters with a digit is outside by construction,
-so the chain falls apart into short runs of candidates between such tokens, and Viterbi decoding
-of each run alone gives the best tags of the whole chain. Weights are fitted on generated examples
+The field tags tokens as begin, inside or outside of a secret. It sees every run of at least eight
+key characters or symbols, with digits or without, and inside a PEM block every line; shorter tokens
+elsewhere are outside by construction, a class of secrets that is lost. So the chain falls apart into
+runs of candidates between such tokens, and Viterbi decoding of each run alone gives the best tags of
+the chain under that rule. Weights are fitted on generated examples
 of secrets and of look-alikes (card and phone numbers, mail addresses, hashes of files, dates,
 paths); no document is read for that.
 """
@@ -14,6 +15,7 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,10 +34,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "crf")
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*[0-9])[A-Za-z0-9+/_=~-]{8,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~@!#$%^&*-]{8,}")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----\r?\n((?:[A-Za-z0-9+/=]+(?:\r?\n|$|(?=[^A-Za-z0-9+/=])))+)")
+_LINE = re.compile(r"[A-Za-z0-9+/=]+")
+_NAME = re.compile(r"(?:passw(?:or)?d|passphrase|pwd|secret|token|key|credential)[\"']?\x20?[:=]\x20?[\"']?$|bearer\x20$", re.I)
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live", "sk-", "pk_live", "xoxb-", "xoxp-", "eyJ", "AIza", "glpat-")
 _KEYWORDS = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential|signature|client_?id", re.I)
 _HARMLESS = re.compile(r"sha\d+|md5|commit|checksum|digest|etag|revision|isbn|order|invoice|phone|tel|card|uuid|version|http", re.I)
+_CUES = "passw passphrase pwd secret token key auth bearer credential signature client sha md5 commit checksum digest etag revision isbn order invoice phone tel card uuid version http".split()
+_HEX = frozenset("0123456789abcdef")
+_WORDS = re.compile(r"[A-Za-z_]+")
+_SYMBOLS, _RIGHT = frozenset("@!#$%^&*"), frozenset("@./,;:\"'")
 _SIZE = 1 << 13
 _OUT, _BEGIN, _IN = 0, 1, 2
 
@@ -55,39 +64,84 @@ def _bucket(value: float, *edges: float) -> int:
     return sum(value >= e for e in edges)
 
 
-def token_features(text: str, start: int, end: int, file: tuple) -> list[int]:
-    """Hashed features of a candidate: its shape, its neighbours and the file it stands in."""
-    token, before, after = text[start:end], text[max(0, start - 48) : start], text[end : end + 16]
-    n = len(token)
+@lru_cache(1 << 16)
+def _entropy(counts: tuple[int, ...]) -> float:
+    n = sum(counts)
+    return -sum(v / n * math.log2(v / n) for v in counts)
+
+
+def _shape(token: str) -> tuple:
+    """What the features of a token alone are made of; few values for plain words."""
+    n, found = len(token), set(token)
+    entropy = _entropy(tuple(sorted(map(token.count, found))))
+    size, level, bits = _bucket(n, 12, 16, 17, 20, 24, 32, 33, 40, 41, 64), _bucket(entropy, 3, 3.5, 4), _bucket(entropy, 2, 2.5, 3, 3.5, 4, 4.5)
+    if token.isalpha() and token.islower():
+        return size, "TrueFalseFalseFalseFalseFalseFalse", "FalseFalse", "FalseTrue", 0, 0, bits, f"{found <= _HEX}{_bucket(n, 32, 40, 64)}", False, False, False, "", False, level
     lower, upper, digits = sum(c.islower() for c in token), sum(c.isupper() for c in token), sum(c.isdigit() for c in token)
     kinds = [("d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else c) for c in token]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    counts = {c: token.count(c) for c in set(token)}
-    entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
-    words = re.findall(r"[A-Za-z_]+", before)[-2:]
-    near = before[-32:]
-    found = [
-        "bias",
-        f"n{_bucket(n, 12, 16, 17, 20, 24, 32, 33, 40, 41, 64)}",
-        f"mix{bool(lower)}{bool(upper)}{bool(digits)}{'_' in token}{'-' in token}{'/' in token or '+' in token}{'=' in token}",
-        f"digits{_bucket(digits / n, 0.1, 0.25, 0.5, 0.75, 0.999)}",
-        f"turns{_bucket(turns / n, 0.1, 0.2, 0.35, 0.5, 0.65)}",
-        f"entropy{_bucket(entropy, 2, 2.5, 3, 3.5, 4, 4.5)}",
-        f"hex{not set(token.lower()) - set('0123456789abcdef')}{_bucket(n, 32, 40, 64)}",
-        f"uuid{bool(re.fullmatch('[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}', token))}",
-        f"date{bool(re.match('[12][0-9]{3}-[01][0-9]', token))}",
-        f"path{token.count('/') >= 2 or token.startswith('/')}",
-        f"start{next((p for p in _PREFIXES if token.startswith(p)), '')}",
-        f"left{before.rstrip()[-1:]}",
-        f"right{after[:1] if after[:1] in set('@./,;:') | set(chr(34) + chr(39)) else ''}",
-        f"key{bool(_KEYWORDS.search(near))}",
-        f"harmless{bool(_HARMLESS.search(near))}",
-        f"keyshape{bool(_KEYWORDS.search(near))}{_bucket(entropy, 3, 3.5, 4)}{bool(upper and lower)}",
-        *(f"w{i}{w.lower()}" for i, w in enumerate(reversed(words))),
-        f"file{file[0]}",
-        f"many{file[1]}",
-    ]
-    return [zlib.crc32(f.encode()) % _SIZE for f in found]
+    return (
+        size,
+        f"{bool(lower)}{bool(upper)}{bool(digits)}{'_' in token}{'-' in token}{'/' in token or '+' in token}{'=' in token}",
+        f"{bool(_SYMBOLS & found)}{'@' in token}",
+        f"{token[:1].isupper() and upper == 1}{token.isalpha()}",
+        _bucket(digits / n, 0.1, 0.25, 0.5, 0.75, 0.999),
+        _bucket(turns / n, 0.1, 0.2, 0.35, 0.5, 0.65),
+        bits,
+        f"{set(token.lower()) <= _HEX}{_bucket(n, 32, 40, 64)}",
+        bool(re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", token)),
+        bool(re.match("[12][0-9]{3}-[01][0-9]", token)),
+        token.count("/") >= 2 or token.startswith("/"),
+        next((p for p in _PREFIXES if token.startswith(p)), ""),
+        bool(upper and lower),
+        level,
+    )
+
+
+def _shape_features(shape: tuple) -> list[int]:
+    names = ("n", "mix", "symbols", "title", "digits", "turns", "entropy", "hex", "uuid", "date", "path", "start")
+    return [_hash("bias"), *(_hash(f"{a}{b}") for a, b in zip(names, shape))]
+
+
+@lru_cache(1 << 16)
+def _hash(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % _SIZE
+
+
+def _cues(text: str) -> list[int]:
+    """Where words begin that stand in what ``_KEYWORDS``, ``_NAME`` and ``_HARMLESS`` match."""
+    low, found = text.lower(), []
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for cue in _CUES:
+        at = low.find(cue)
+        while at >= 0:
+            found.append(at)
+            at = low.find(cue, at + 1)
+    return sorted(found)
+
+
+def _around(text: str, start: int, end: int, cues: list[int]) -> tuple[str, str, bool, bool, bool, list[str]]:
+    """What stands before and after a candidate. Only one with a cue not far before it is searched."""
+    before, after = text[max(0, start - 48) : start], text[end : end + 1]
+    key = named = harmless = False
+    at = bisect_left(cues, start)
+    if at and cues[at - 1] >= start - 32:
+        near = before[-32:]
+        key, named, harmless = bool(_KEYWORDS.search(near)), bool(_NAME.search(near)), bool(_HARMLESS.search(near))
+    return before.rstrip()[-1:], after if after in _RIGHT else "", key, named, harmless, _WORDS.findall(before)[-2:]
+
+
+def _context(left: str, right: str, key: bool, named: bool, harmless: bool, mixed: bool, level: int, file: tuple) -> list[int]:
+    found = [f"left{left}", f"right{right}", f"key{key}", f"named{named}{mixed}", f"harmless{harmless}", f"keyshape{key}{level}{mixed}", f"file{file[0]}", f"many{file[1]}"]
+    return [_hash(f) for f in found]
+
+
+def token_features(text: str, start: int, end: int, file: tuple) -> list[int]:
+    """Hashed features of a candidate: its shape, its neighbours and the file it stands in."""
+    shape = _shape(text[start:end])
+    *around, words = _around(text, start, end, [start - 1] if start else [])
+    return _shape_features(shape) + _context(*around, *shape[-2:], file) + [_hash(f"w{i}{w.lower()}") for i, w in enumerate(reversed(words))]
 
 
 def file_features(text: str, candidates: int) -> tuple:
@@ -96,12 +150,16 @@ def file_features(text: str, candidates: int) -> tuple:
 
 def candidate_runs(text: str) -> list[list[tuple[int, int]]]:
     """Candidates in runs with nothing but one line end or space between neighbours."""
+    spans = [m.span() for m in _CANDIDATE.finditer(text)]
+    if "-----BEGIN" in text:
+        lines = [x.span() for m in _PEM.finditer(text) for x in _LINE.finditer(text, *m.span(1))]
+        spans = sorted({*spans, *(x for x in lines if x[1] - x[0] < 8)})
     runs: list[list[tuple[int, int]]] = []
-    for m in _CANDIDATE.finditer(text):
-        if runs and text[runs[-1][-1][1] : m.start()] in ("\n", "\r\n", " "):
-            runs[-1].append(m.span())
+    for span in spans:
+        if runs and text[runs[-1][-1][1] : span[0]] in ("\n", "\r\n", " "):
+            runs[-1].append(span)
         else:
-            runs.append([m.span()])
+            runs.append([span])
     return runs
 
 
@@ -112,6 +170,15 @@ class Field:
         self.weights, self.moves = np.zeros((_SIZE, 3)), np.zeros((4, 4))  # 3: outside the run, at either end
         self.moves[_OUT, _IN] = self.moves[3, _IN] = -1e4
 
+    def scores(self) -> _Scores:
+        """Made once where they are used; they don't travel with the field."""
+        if "_scores" not in self.__dict__:
+            self._scores = _Scores(self)
+        return self._scores
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scores"}
+
     def emissions(self, rows: list[list[int]]) -> np.ndarray:
         return np.array([self.weights[r].sum(axis=0) for r in rows])
 
@@ -186,7 +253,10 @@ def examples(n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int]]]]:
         lambda: ("slack ", [r.choice(("xoxb-", "xoxp-")) + some(digits, 12) + "-" + some(alnum, 24)]),
         lambda: ("Authorization: Bearer ", [some(b64, 40, 80)]),
         lambda: (r.choice(("Bearer ", "jwt ", "")), ["eyJ" + some(alnum, 20, 60)]),
-        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n", [some(b64, 64) for _ in range(r.randint(2, 4))]),
+        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n", [some(b64, 64) for _ in range(r.randint(2, 4))] + [some(b64, 2, 40) + r.choice(("", "=", "=="))]),
+        lambda: (name() + r.choice((" = ", "=", ": ")) + r.choice(("", '"')), [some(alnum[:52], 10, 40)]),
+        lambda: (name() + r.choice((" = ", "=", ": ")) + r.choice(("", '"')), [some(alnum, 3, 8) + r.choice("@!#$%^&*") + some(alnum + "@!", 6, 12)]),
+        lambda: ("Authorization: Bearer ", [some(alnum[:52], 24, 60)]),
         lambda: (r.choice(("google ", "")), ["AIza" + some(alnum + "_-", 35)]),
     )
     bad = (
@@ -206,6 +276,13 @@ def examples(n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int]]]]:
         lambda: (r.choice(("order ", "invoice ", "isbn ")), some(digits, 8, 13)),
         lambda: ("", word().title() + word().title() + some(digits, 1, 2) + word()),
         lambda: ("", "=" * r.randint(3, 9) + some(digits, 1, 5) + "=" * 4),
+        lambda: ("", r.choice("=-_*#") * r.randint(8, 40)),
+        lambda: ("", word() + word() + r.choice(("", "!", "-" + word()))),
+        lambda: ("", r.choice((str.title, str.upper))(word() + word())),
+        lambda: ("", r.choice("/_-").join(word() for _ in range(r.randint(2, 4)))),
+        lambda: (name() + " ", word() + word()),
+        lambda: ("", word() + r.choice(("", ".")) + word() + "@" + word() + ".org"),
+        lambda: (r.choice(("-----BEGIN CERTIFICATE-----", "-----END RSA PRIVATE KEY-----")), ""),
     )
     made = []
     for _ in range(n):
@@ -245,13 +322,53 @@ def field(n: int = 2500) -> Field:
     return Field().fit(labelled_runs(examples(n)))
 
 
+class _Scores:
+    """Sums of a field's weights over the features of :func:`token_features`, kept for what recurs."""
+
+    def __init__(self, model: Field):
+        self.rows, self.moves = [tuple(r) for r in model.weights.tolist()], model.moves.tolist()
+        self.kept: dict = {}
+
+    def total(self, key, features: list[int]) -> tuple[float, float, float]:
+        if len(self.kept) > 1 << 17:
+            self.kept.clear()
+        got = self.kept[key] = tuple(map(sum, zip(*(self.rows[f] for f in features))))
+        return got
+
+    def emission(self, text: str, start: int, end: int, file: tuple, cues: list[int]) -> list[float]:
+        kept, shape = self.kept, _shape(text[start:end])
+        alone = kept.get(shape) or self.total(shape, _shape_features(shape))
+        *around, words = _around(text, start, end, cues)
+        key = (*around, *shape[-2:], file)
+        more = kept.get(key) or self.total(key, _context(*key))
+        o, b, i = alone[0] + more[0], alone[1] + more[1], alone[2] + more[2]
+        for n, word in enumerate(reversed(words)):
+            x = kept.get((n, word)) or self.total((n, word), [_hash(f"w{n}{word.lower()}")])
+            o, b, i = o + x[0], b + x[1], i + x[2]
+        return [o, b, i]
+
+    def decode(self, emit: list[list[float]]) -> list[int]:
+        """The best tags of a run, as :meth:`Field.decode` finds them."""
+        moves, tags = self.moves, (_OUT, _BEGIN, _IN)
+        best, back = [moves[3][t] + emit[0][t] for t in tags], []
+        for e in emit[1:]:
+            come = [max(tags, key=lambda a: best[a] + moves[a][t]) for t in tags]
+            back.append(come)
+            best = [best[come[t]] + moves[come[t]][t] + e[t] for t in tags]
+        path = [max(tags, key=lambda t: best[t] + moves[t][3])]
+        for come in reversed(back):
+            path.append(come[path[-1]])
+        return path[::-1]
+
+
 def crf_spans(text: str, model: Field) -> list[tuple[str, int, int]]:
     runs = candidate_runs(text)
     if not runs:
         return []
-    file, found = file_features(text, sum(map(len, runs))), []
+    scores = model.scores()
+    file, cues, found = file_features(text, sum(map(len, runs))), _cues(text), []
     for run in runs:
-        for (a, b), tag in zip(run, model.decode(model.emissions([token_features(text, *span, file) for span in run]))):
+        for (a, b), tag in zip(run, scores.decode([scores.emission(text, *span, file, cues) for span in run])):
             if tag == _BEGIN:
                 found.append(("crf", a, b))
             elif tag == _IN:
