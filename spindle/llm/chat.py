@@ -2,8 +2,8 @@
 
 Calls and results meet in a hash join on (conversation, call id). Calls are ordered so that each
 comes after those it depends on. Nearly always the order of turns does that already, which one join
-verifies; only conversations where it doesn't go through rounds that place the calls whose
-dependencies are all placed. Positions are counted over a range-sorted table, so that one very long
+verifies; conversations where it doesn't are ordered inside a task each, or, where one is too large
+for a task, in rounds that place the calls whose dependencies are all placed. Positions are counted over a range-sorted table, so that one very long
 conversation is spread over tasks. Arguments are validated against JSON schemas, and linked calls
 are written as canonical JSON: sorted keys, no spaces, UTF-8.
 """
@@ -11,6 +11,8 @@ are written as canonical JSON: sorted keys, no spaces, UTF-8.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,22 +23,80 @@ from . import common
 
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
-_TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: Conversations of at most this many calls and dependencies are ordered inside one task.
+TASK_CALLS = 100_000
+#: Arguments nested deeper than this are no valid arguments.
+MAX_DEPTH = 64
+_TYPES = {"string": (str,), "boolean": (bool,), "object": (dict,), "array": (list,), "null": (type(None),), "number": (int, float), "integer": (int, float)}
+
+
+def _number(text: str) -> int | float:
+    """A JSON number with a fraction or exponent; one that a double can't hold is refused."""
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is out of range")
+    return int(value) if value == int(value) and abs(value) < 2**53 else value
+
+
+def _refuse(text: str):
+    raise ValueError(f"{text} is no JSON")
+
+
+def _deep(value, depth: int) -> bool:
+    if not isinstance(value, (dict, list)):
+        return False
+    return depth == 0 or any(_deep(v, depth - 1) for v in (value.values() if isinstance(value, dict) else value))
+
+
+def parse(text: str | None):
+    """JSON as Python holds it; ValueError for what is no JSON, not finite or too deeply nested."""
+    try:
+        value = json.loads(text or "", parse_float=_number, parse_constant=_refuse)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    if _deep(value, MAX_DEPTH):
+        raise ValueError("nested too deeply")
+    return value
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no spaces, whole numbers without a fraction; half surrogate pairs stay escaped."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def check_schema(schema: dict) -> None:
+    """ValueError for a schema with an unknown type."""
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in _TYPES:
+            raise ValueError(f"unknown type {kind!r}")
+    for part in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+        check_schema(part)
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("number", "integer") and isinstance(value, bool):
+        return False
+    return isinstance(value, _TYPES[kind]) and (kind != "integer" or value == int(value))
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: true is not 1, but 1.0 is."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
 
 
 def valid(value, schema: dict) -> bool:
-    """Whether a value fits a schema of: type, enum, properties, required, additionalProperties, items."""
-    kind = schema.get("type")
-    if kind in ("number", "integer"):
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or kind == "integer" and value != int(value):
-            return False
-    elif kind and not isinstance(value, _TYPES[kind]):
+    """Whether a value fits a schema of: type (one or several), enum, properties, required, additionalProperties, items."""
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
         return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         return False
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -54,7 +114,7 @@ def _written(schemas: dict):
             fits, lines = [], []
             for row in batch.to_pylist():
                 try:
-                    arguments = json.loads(row["arguments"] or "")
+                    arguments = parse(row["arguments"])
                     fits.append(row["name"] in schemas and valid(arguments, schemas[row["name"]]))
                 except ValueError:
                     arguments = row["arguments"]
@@ -68,12 +128,50 @@ def _written(schemas: dict):
     return run
 
 
-def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """``(conv_id, call_id, level)`` of calls in conversations whose turns don't follow the dependencies.
+def levels_of(nodes: set, needs: list[tuple]) -> dict:
+    """The level of each node: one more than the highest it needs (pairs of node and needed); none on or behind a cycle."""
+    left, after, level = dict.fromkeys(nodes, 0), {}, {}
+    for node, needed in set(needs):
+        left[node] += 1
+        after.setdefault(needed, []).append(node)
+    ready = [n for n, open_needs in left.items() if not open_needs]
+    at = 0
+    while ready:
+        following = []
+        for n in ready:
+            level[n] = at
+            for m in after.get(n, ()):
+                left[m] -= 1
+                if not left[m]:
+                    following.append(m)
+        ready, at = following, at + 1
+    return level
 
-    A call's level is one more than the highest it depends on; calls of a cycle get none.
-    """
-    spark = calls.sparkSession
+
+def _levels_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of the calls of whole conversations, sorted by conversation; a null ``needed`` is the call alone."""
+
+    def done():
+        level = levels_of(nodes, needs)
+        ids = sorted(level)
+        return pa.RecordBatch.from_arrays([pa.array([now] * len(ids), pa.int64()), pa.array(ids, pa.string()), pa.array([level[i] for i in ids], pa.int32())], ["conv_id", "call_id", "level"])
+
+    now, nodes, needs = None, set(), []
+    for batch in batches:
+        for conv, call, needed in zip(*(c.to_pylist() for c in batch.columns)):
+            if conv != now and nodes:
+                yield done()
+                nodes, needs = set(), []
+            now = conv
+            nodes.add(call)
+            if needed is not None:
+                needs.append((call, needed))
+    if nodes:
+        yield done()
+
+
+def _levels_in_rounds(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """As :func:`levels_of`, for conversations that fit no task: one round of joins for each level."""
     placed = None
     left = common.materialize(calls.select("conv_id", "call_id").distinct(), "unplaced")
     needs = needs.select("conv_id", F.col("call_id").alias("of"), F.col("needed"))
@@ -84,13 +182,29 @@ def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
         if ready.isEmpty():
             break
         placed = ready if placed is None else placed.unionByName(ready)
-        after = common.materialize(left.join(ready, ["conv_id", "call_id"], "left_anti"), "unplaced")
-        common.discard(spark, left)
-        left, level = after, level + 1
+        left = common.materialize(left.join(ready, ["conv_id", "call_id"], "left_anti"), "unplaced")
+        level += 1
     return placed if placed is not None else left.withColumn("level", F.lit(0))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
+def _levels(calls: DataFrame, needs: DataFrame, task_calls: int) -> DataFrame:
+    """``(conv_id, call_id, level)`` of calls in conversations whose turns don't follow the dependencies.
+
+    A call's level is one more than the highest it depends on; calls of a cycle get none.
+    """
+    rows = calls.filter("call_id is not null").select("conv_id", "call_id", F.lit(None).cast("string").alias("needed"))
+    rows = common.materialize(rows.unionByName(needs.select("conv_id", "call_id", "needed")).distinct(), "late-calls")
+    giant = rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > task_calls).select(F.col("conv_id").alias("gc"))
+    giant = common.materialize(giant, "giant-conversations")
+    small = rows.join(giant, F.col("conv_id") == F.col("gc"), "left_anti").repartition("conv_id").sortWithinPartitions("conv_id")
+    levels = small.mapInArrow(_levels_in_task, "conv_id long, call_id string, level int")
+    if giant.isEmpty():
+        return levels
+    rest = rows.join(giant, F.col("conv_id") == F.col("gc"), "left_semi")
+    return levels.unionByName(_levels_in_rounds(rest, rest.filter("needed is not null")))
+
+
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict, *, task_calls: int = TASK_CALLS) -> DataFrame:
     """``conv_id, turn, call_id, position, linked, valid, json`` of each row of ``calls``.
 
     ``calls`` and ``results`` have the columns of ``CALLS`` and ``RESULTS``. A call's result is the
@@ -99,10 +213,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
     ignored. ``position`` counts from 0 in an order in which each call follows its dependencies, by
     turn and id where they leave a choice; it is null for calls of a cycle and what depends on them.
     Unknown tools and arguments that are no JSON or don't fit are not ``valid``; arguments that are
-    no JSON are written as a string.
+    no JSON, hold numbers beyond a double, or are nested deeper than ``MAX_DEPTH`` are written as a
+    string. Very long arguments and contents are written whole. A schema with an unknown type is a
+    ValueError. Other columns are not read. Empty tables give no rows.
     """
-    spark = calls.sparkSession
-    common.ship(spark)
+    for schema in schemas.values():
+        check_schema(schema)
+    common.ship(calls.sparkSession)
     calls = common.materialize(calls.select(*[c.split()[0] for c in CALLS.split(", ")]), "calls")
     first = results.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by(F.struct("turn", "content"), F.struct("turn", "content")).alias("r"))
     first = first.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"))
@@ -116,7 +233,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
         ordered = calls.withColumn("level", F.lit(0))
     else:
         odd = calls.join(late, F.col("conv_id") == F.col("lc"), "left_semi")
-        levels = _levels(odd, needs.join(late, F.col("conv_id") == F.col("lc"), "left_semi"))
+        levels = _levels(odd, needs.join(late, F.col("conv_id") == F.col("lc"), "left_semi"), task_calls)
         ordered = calls.join(late, F.col("conv_id") == F.col("lc"), "left_anti").withColumn("level", F.lit(0))
         ordered = ordered.unionByName(odd.join(levels, ["conv_id", "call_id"], "left").select(*ordered.columns))
 
