@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_local = threading.local()
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,6 +53,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spindle-{uuid.uuid4().hex}-{name}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the reread table: lineage ends here.
 
@@ -56,17 +65,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if open_scopes := getattr(_local, "scopes", None):
+        open_scopes[-1].append((name, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Deletes, at its end, the tables that :func:`materialize` wrote in it.
+
+    Of the names in ``kept``, which a result still reads, the latest table stays; a scope around
+    this one takes it over. After an error nothing stays.
+    """
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    written: list[tuple[str, str]] = []
+    _local.scopes.append(written)
+    stay: dict[str, str] = {}
+    try:
+        yield
+        stay = {name: path for name, path in written if name in kept}
+    finally:
+        _local.scopes.pop()
+        for _, path in written:
+            if path not in stay.values():
+                _delete(spark, path)
+        if _local.scopes:
+            _local.scopes[-1].extend(stay.items())
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getName().startswith("spindle-"):
-            path.getFileSystem(hadoop).delete(path, True)
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[1].startswith("spindle-"):
+            _delete(spark, folder)
 
 
 def text_or_empty(column: str = "text"):

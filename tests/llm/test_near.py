@@ -133,8 +133,47 @@ def test_top_k(spark):
         best = sorted((-int(good[q] @ x), i) for i, x in good.items() if i != q and len(x) == len(good[q]))[:5]
         want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    for pivots, block in ((64, 1024), (3, 8)):
-        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, pivots=pivots, block=block).collect()}
+    for pivots, block, queries, rounds in ((None, 1024, 256, None), (3, 8, 2, (1, 3))):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, pivots=pivots, block=block, queries=queries, rounds=rounds).collect()}
         assert got == want
     few = topk.top_k(df.filter("vec_id in (0, 1, 203)")).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(0, 1, 1)]
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 3.0]), (2, [3.0, 3.0]), (3, [3.0, 3.0]), (4, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    one = [(1, 2, 196608), (2, 3, 196608), (3, 1, 131072), (4, 4, -65536)]
+    other = [(1, 2, 196608), (2, 3, 196608), (3, 1, 0), (4, 4, -65536)]
+    for block in (1, 1024):
+        got = topk.top_k(df, block=block, rounds=(1,)).collect()
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got) == sorted(one + other)
+
+
+def test_top_k_of_huge_components(spark):
+    kind = "vec_id long, embedding array<double>"
+    rows = [(0, [1e13, 1.0]), (1, [1.0, 2.0]), (2, [0.0, 1e13]), (3, [-3.0, 0.0])]
+    good = {i: [math.floor(256 * v) for v in x] for i, x in rows}
+    want = sorted(((sum(a * b for a, b in zip(good[0], good[i])), i) for i in (1, 2, 3)), reverse=True)
+    got = sorted(topk.top_k(spark.createDataFrame(rows, kind)).collect(), key=lambda r: r["rank"])
+    assert [(r.score, r.vec_id) for r in got] == want
+    with_zero = topk.top_k(spark.createDataFrame([(0, [0.0, 1.0]), (1, [1e17, 0.0]), (2, [1.0, 1.0])], kind)).collect()
+    assert sorted((r.vec_id, r.score) for r in with_zero) == [(1, 0), (2, 65536)]
+    for loud in ([(0, [1e17, 0.0]), (1, [1e17, 0.0])], [(0, [1e200]), (1, [1.0])]):
+        with pytest.raises(Exception, match="long|Overflow|too large|too big"):
+            topk.top_k(spark.createDataFrame(loud, kind)).collect()
+
+
+def test_few_annuli_are_asked_where_vectors_cluster(spark):
+    r = np.random.Generator(np.random.PCG64(8))
+    centres = r.standard_normal((40, 24))
+    x = centres[r.integers(0, 40, 4000)] + 0.05 * r.standard_normal((4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    counts: dict = {}
+    got = {(q.query_id, q["rank"]): (q.vec_id, q.score) for q in topk.top_k(df, block=32, queries=8, counts=counts).collect()}
+    whole = np.floor(256 * x).astype(int)
+    for q in range(0, 4000, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in best]
+    assert counts["asked"] < 0.4 * counts["pairs"], counts
