@@ -8,7 +8,8 @@ is enumerated as the chunk with one hash masked, so all pairs within the distanc
 At a similarity of 0.8 a hash differs with probability 0.2, and more than 30 of 64 differ in fewer
 than one pair in a million. Links are then confirmed on the full sets of shingles.
 
-Equal sets are one class from the start. A bucket's members are compared with its smallest member
+Equal sets are one class from the start; a class is known by a number of its own, not by a document
+id, so that rows which repeat an id with another text are documents of their own. A bucket's members are compared with its smallest member
 first. Members that this leaves in different components are compared with each other in blocks, but
 for those with too many shingles that no other such member has: they can't be linked to any.
 """
@@ -28,8 +29,10 @@ from .components import components
 from .vectors import _groups
 
 HASHES, CHUNKS, LANES, DISTANCE = 64, 16, 4, 30
-#: Ids of documents to verify are broadcast up to this number (8 bytes each), else joined.
-BROADCAST_IDS = 500_000
+#: Rows that say which texts to fetch are broadcast up to this number (about 64 bytes each), else joined.
+BROADCAST_ROWS = 200_000
+#: Members that meet one copy of a leader's text; documents and shingles of a block of a cluster.
+STAR, BLOCK, BLOCK_SHINGLES = 256, 512, 400_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _draw = np.random.Generator(np.random.PCG64(20240229))
 _A = _draw.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,22 +84,22 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 _CHUNK, _NIBBLE = [f"c{i}" for i in range(CHUNKS)], [f"q{i}" for i in range(4)]
 _SIGNATURE = [*_CHUNK, *_NIBBLE]
-_SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in _SIGNATURE)
+_SIGNED = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in _SIGNATURE)
 
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, prints, sigs = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingles(text.as_py(), k)
                 sizes.append(len(found))
                 prints.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64))
                 sigs.append(signature(found))
             if sizes:
                 prints, sigs = np.stack(prints), np.stack(sigs)
-                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *(pa.array(np.ascontiguousarray(sigs[:, i])) for i in range(len(_SIGNATURE)))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f1", "f2", *_SIGNATURE])
+                columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *(pa.array(np.ascontiguousarray(sigs[:, i])) for i in range(len(_SIGNATURE)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "f1", "f2", *_SIGNATURE])
 
     return run
 
@@ -137,39 +140,52 @@ def _differs(a: str, b: str) -> Column:
     return total
 
 
-def _similar(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict = {}
+def _fetch(wanted: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` with the text of their ``node``, the first document of its class.
+
+    Texts are sent where they are needed: small ``wanted`` go to the texts, large ones are joined.
+    Rows of the table that repeat an id and a text come as often.
+    """
+    names = wanted.columns
+    wanted = common.materialize(wanted.join(heads, "node").select(*names, "head", "head_hash"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return texts.join(wanted, (F.col("doc_id") == F.col("head")) & (F.col("text_hash") == F.col("head_hash"))).select(*names, "text")
+
 
-        def of(doc, text):
-            if doc not in sets:
-                if len(sets) >= 64:
-                    sets.clear()
-                sets[doc] = shingles(text, k)
-            return sets[doc]
+def _similar(k: int, percent: int):
+    """Rows (leader, copy, node, text), the leader's own first: links of the leader with the others."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = None, np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(*(batch.column(i) for i in range(4))):
-                x, y = of(a.as_py(), ta.as_py()), of(b.as_py(), tb.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for leader, node, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if leader == node:
+                    if own != leader:
+                        own, of = leader, shingles(text.as_py(), k)
+                    continue
+                found = shingles(text.as_py(), k)
+                both = len(np.intersect1d(of, found, assume_unique=True))
+                if 100 * both >= percent * (len(of) + len(found) - both):
+                    a.append(leader)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _confirm(pairs: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (leader a, member b) whose full sets are similar enough.
+
+    A leader's text is sent once for every ``STAR`` of its members, a member's once for each leader.
+    """
     pairs = common.materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = common.materialize(ids, "pair-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = texts.join(ids, texts.doc_id == ids.id, "left_semi")
-    first, second = texts.toDF("ida", "ta"), texts.toDF("idb", "tb")
-    full = pairs.join(first, F.col("a") == F.col("ida")).join(second, F.col("b") == F.col("idb"))
-    return common.materialize(full.select("a", "b", "ta", "tb").mapInArrow(_similar(k, percent), "a long, b long"), "links")
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies"))
+    own = copies.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("a").alias("node"))
+    members = pairs.join(copies.withColumnRenamed("a", "of"), F.col("a") == F.col("of")).select(F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), F.col("b").alias("node"))
+    rows = _fetch(own.unionByName(members), heads, texts)
+    rows = rows.repartition("leader", "copy").sortWithinPartitions("leader", "copy", F.col("node") != F.col("leader"))
+    return common.materialize(rows.mapInArrow(_similar(k, percent), "a long, b long"), "links")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -183,22 +199,21 @@ def _spread(k: int):
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = shingles(text.as_py(), k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found)], ["id", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found)], ["node", "h"])
 
     return run
 
 
-def _linkable(ids: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the documents ``ids`` (rep), those that can be similar enough to another of them.
+def _linkable(ids: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the classes ``ids`` (node), those that can be similar enough to another of them.
 
     A shingle that only one of them has is in no intersection; a document needs enough others.
     """
-    ids = common.materialize(ids.select(F.col("rep").alias("i")), "mixed-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = texts.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").mapInArrow(_spread(k), "id long, h long")
-    alone = found.groupBy("h").agg(F.count("*").alias("m"), F.min("id").alias("only")).filter("m = 1").groupBy("only").agg(F.count("*").alias("alone"))
-    of = classes.select(F.col("rep").alias("r"), "n").join(wanted, F.col("r") == F.col("i"), "left_semi").join(alone, F.col("r") == F.col("only"), "left")
-    return of.filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("r")
+    ids = common.materialize(ids, "mixed-ids")
+    found = _fetch(ids, heads, texts).mapInArrow(_spread(k), "node long, h long")
+    alone = found.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("only")).filter("m = 1").groupBy("only").agg(F.count("*").alias("alone"))
+    of = heads.join(ids, "node", "left_semi").join(alone, F.col("node") == F.col("only"), "left")
+    return of.filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("node")
 
 
 def _compare(k: int, percent: int):
@@ -206,7 +221,9 @@ def _compare(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            rep, comp, own, i, j = (group.column(c).to_numpy() for c in ("rep", "comp", "own", "i", "j"))
+            first = np.unique(group.column("node").to_numpy(), return_index=True)[1]  # rows can repeat a document
+            group = group.take(pa.array(first))
+            node, comp, own, i, j = (group.column(c).to_numpy() for c in ("node", "comp", "own", "i", "j"))
             sets = [shingles(t.as_py(), k) for t in group.column("text").combine_chunks()]
             size = np.array([len(x) for x in sets])
             at = np.repeat(np.arange(len(sets)), size)
@@ -232,77 +249,88 @@ def _compare(k: int, percent: int):
                 if one != other:
                     kept.append(n)
                     label[label == other] = one
-            yield pa.RecordBatch.from_arrays([pa.array(rep[p[kept]], pa.int64()), pa.array(rep[q[kept]], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[p[kept]], pa.int64()), pa.array(node[q[kept]], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _compare_rest(rows: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
-    """Links between members (key, rep, comp) of the same bucket in different components.
+def _compare_rest(rows: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members (key, node, comp) of the same bucket in different components.
 
-    Components that share buckets are clustered, and each cluster is compared in blocks: a text is
-    sent once for each block of its cluster, and no pairs leave a block but links that join components.
+    Components that share buckets are clustered, and each cluster is compared in blocks of at most
+    about ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles: a text is sent once for each block of
+    its cluster, and no pairs leave a block but links that join components.
     """
     low = rows.groupBy("key").agg(F.min("comp").alias("low")).withColumnRenamed("key", "k")
     edges = rows.join(low, F.col("key") == F.col("k")).filter("comp <> low").select(F.col("low").alias("a"), F.col("comp").alias("b"))
-    clusters = common.materialize(components(edges), "clusters")
-    members = rows.select("rep", "comp").distinct().join(clusters, F.col("comp") == F.col("node")).select("rep", "comp", F.col("component").alias("cluster"))
-    members = common.materialize(members, "members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).withColumnRenamed("cluster", "c")
-    members = members.join(sizes, F.col("cluster") == F.col("c")).drop("c").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    ids = members.select(F.col("rep").alias("i"))
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = texts.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").dropDuplicates(["doc_id"])
+    clusters = common.materialize(components(edges), "clusters").withColumnRenamed("node", "linked")
+    members = rows.select("node", "comp").distinct().join(clusters, F.col("comp") == F.col("linked")).select("node", "comp", F.col("component").alias("cluster"))
+    members = common.materialize(members.join(heads.select("node", "n"), "node"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("cluster").agg(blocks.alias("nb")).withColumnRenamed("cluster", "c")
+    members = members.join(sizes, F.col("cluster") == F.col("c")).drop("c").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    tasks = members.join(texts, F.col("rep") == F.col("doc_id")).select("cluster", F.inline(pairs), "own", "rep", "comp", "text")
-    tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
+    tasks = _fetch(members.select("cluster", F.inline(pairs), "own", "node", "comp"), heads, texts)
+    tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     return common.materialize(tasks.mapInArrow(_compare(k, percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs`` (doc_id, text).
+    """``doc_id, n_shingles, component_id, kept, text_hash, component`` of each row of ``docs`` (doc_id, text).
 
     Words are runs without white space, A-Z in lower case. Rows are linked if the intersection of
     their sets of shingles is at least ``percent`` hundredths of the union. A null or empty text has
-    no shingles and links with nothing. Ids are expected to be unique; rows that repeat an id and a
-    text count as copies, and with another text the id stands for either. A null id is kept apart.
-    An empty table gives no rows. Other columns are not read.
+    no shingles and links with nothing; its ``component`` is null. Rows that repeat an id are
+    documents of their own: each has the smallest id that its own text reaches. ``component`` tells
+    apart components that have the same smallest id. A null id is kept apart. An empty table gives
+    no rows. Other columns are not read.
     """
     common.ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    signed = common.materialize(texts.mapInArrow(_sign(shingle), _SIGNED), "signatures")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in _SIGNATURE])
-    classes = common.materialize(classes, "classes")
+    with common.scope(docs.sparkSession, "signatures", "class-components"):
+        return _near_duplicates(docs, shingle, percent, distance)
 
-    keys = classes.select("rep", F.explode(_keys(distance)).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("bucket"), "leader")
-    shared = common.materialize(keys.join(buckets, F.col("key") == F.col("bucket")).select("key", "rep", "leader"), "buckets")
 
-    sigs = classes.select("rep", *_NIBBLE)
-    side = lambda p: sigs.toDF(*[p + c for c in ("rep", *_NIBBLE)])
-    star = shared.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(side("x"), F.col("b") == F.col("xrep")).join(side("y"), F.col("a") == F.col("yrep"))
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, distance: int) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    signed = common.materialize(texts.mapInArrow(_sign(shingle), _SIGNED), "signatures")
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2")
+    classes = classes.agg(F.min("doc_id").alias("head"), F.min_by("text_hash", "doc_id").alias("head_hash"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in _SIGNATURE])
+    classes = common.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = classes.select("node", "head", "head_hash", "n")
+
+    keys = classes.select("node", F.explode(_keys(distance)).alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1").select(F.col("key").alias("bucket"), "leader")
+    shared = common.materialize(keys.join(buckets, F.col("key") == F.col("bucket")).select("key", "node", "leader"), "buckets")
+
+    sigs = classes.select("node", *_NIBBLE)
+    side = lambda p: sigs.toDF(*[p + c for c in ("node", *_NIBBLE)])
+    star = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    star = star.join(side("x"), F.col("b") == F.col("xnode")).join(side("y"), F.col("a") == F.col("ynode"))
     star = star.filter(_differs("x", "y") <= distance).select("a", "b")
-    links = _confirm(star, texts, shingle, percent)
-    found = common.materialize(components(links), "components")
+    links = _confirm(star, heads, texts, shingle, percent)
+    found = common.materialize(components(links), "components").withColumnRenamed("node", "linked")
 
-    rows = shared.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("comp"))
+    rows = shared.join(found, F.col("node") == F.col("linked"), "left").select("key", "node", "leader", F.coalesce("component", "node").alias("comp"))
     rows = common.materialize(_mixed(common.materialize(rows, "labelled")), "mixed")
-    live = common.materialize(_linkable(rows.select("rep").distinct(), classes, texts, shingle, percent), "linkable")
-    rows = common.materialize(_mixed(rows.join(live, F.col("rep") == F.col("r"), "left_semi")), "mixed")
-    more = _compare_rest(rows.select("key", "rep", "comp"), texts, shingle, percent)
+    live = common.materialize(_linkable(rows.select("node").distinct(), heads, texts, shingle, percent), "linkable")
+    rows = common.materialize(_mixed(rows.join(live, "node", "left_semi")), "mixed")
+    more = _compare_rest(rows.select("key", "node", "comp"), heads, texts, shingle, percent)
     if not more.isEmpty():
-        found = common.materialize(components(links.unionByName(more)), "components")
+        found = common.materialize(components(links.unionByName(more)), "components").withColumnRenamed("node", "linked")
 
-    of = classes.select("f1", "f2", "rep").join(found, F.col("rep") == F.col("node"), "left")
-    of = common.materialize(of.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("comp")), "class-components")
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(of, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
+    first = found.join(heads, F.col("linked") == F.col("node")).groupBy("component").agg(F.min("head").alias("comp")).withColumnRenamed("component", "c")
+    of = classes.select("f1", "f2", "node", "head").join(found, F.col("node") == F.col("linked"), "left").join(first, F.col("component") == F.col("c"), "left")
+    of = of.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("comp", "head").alias("comp"), F.coalesce("component", "node").alias("component"))
+    of = common.materialize(of, "class-components")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(of, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & F.col("doc_id").isNotNull(), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash", "component")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash", "component")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    found = near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP6_SQL = r"""

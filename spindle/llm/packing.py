@@ -4,7 +4,9 @@ Each input partition is packed on its own as a stream of blocks, so nothing is s
 block of ``block_windows`` sequences is all that a task holds. Full windows leave a document as
 they are; what remains is cut into pieces of at most ``max_piece`` ids, which differencing deals to
 as many windows as their total needs. While a window comes out above the capacity, the number of
-windows rises.
+windows rises. What is left at the end of a partition, less than a block, is not packed there but
+in a second pass, in which each task takes the rests of as many partitions as make several blocks.
+So padding doesn't depend on how the input is split.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from . import common, tokens
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
+#: Blocks that a task of the second pass packs, at least.
+REST_BLOCKS = 4
+
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Deal ``sizes`` to ``k`` windows of near-equal sums: (the sums, the window of each item).
@@ -68,29 +73,35 @@ def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k += max(1, int((sums.max() - capacity) * k / capacity / 2))
 
 
-def _pack(path: str, end_id: int, capacity: int, max_piece: int, block_windows: int):
-    end = np.array([end_id], "<u4").tobytes()
-
-    def rows(pieces: list[tuple], window: np.ndarray, first: int) -> pa.RecordBatch:
-        order = np.argsort(window, kind="stable")
-        length = np.array([len(p[2]) // 4 for p in pieces], np.int64)[order]
-        ends, seq = np.cumsum(length), window[order]
+def _rows(pieces: list[tuple], window: np.ndarray | None, first: int = 0) -> pa.RecordBatch:
+    """Pieces (doc_id, start, ids, doc_tokens) in their windows; those without windows are not placed yet."""
+    order = np.arange(len(pieces)) if window is None else np.argsort(window, kind="stable")
+    length = np.array([len(p[2]) // 4 for p in pieces], np.int64)[order]
+    ends = np.cumsum(length)
+    picked = [pieces[i] for i in order.tolist()]
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(p[2] for p in picked))])
+    if window is None:
+        place = [pa.nulls(len(pieces), pa.int64())] * 2
+    else:
+        seq = window[order]
         opens = np.flatnonzero(np.diff(seq, prepend=-1))
         offset = ends - length - np.repeat((ends - length)[opens], np.diff(opens, append=len(seq)))
-        picked = [pieces[i] for i in order.tolist()]
-        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(p[2] for p in picked))])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([p[0] for p in picked], pa.int64()),
-                pa.array([p[1] for p in picked], pa.int64()),
-                pa.array(length),
-                pa.array([p[3] for p in picked], pa.int64()),
-                pa.array(seq + first),
-                pa.array(offset),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat),
-            ],
-            ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-        )
+        place = [pa.array(seq + first), pa.array(offset)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([p[0] for p in picked], pa.int64()),
+            pa.array([p[1] for p in picked], pa.int64()),
+            pa.array(length),
+            pa.array([p[3] for p in picked], pa.int64()),
+            *place,
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat),
+        ],
+        ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+    )
+
+
+def _pack(path: str, end_id: int, capacity: int, max_piece: int, block_windows: int):
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, next_id = tokens.encoder(path), TaskContext.get().partitionId() << 33
@@ -110,17 +121,39 @@ def _pack(path: str, end_id: int, capacity: int, max_piece: int, block_windows:
                         pool.append((doc_id, at, ids[4 * at : 4 * min(n, at + max_piece)], n))
                     pooled += n - whole
                     if len(full) >= block_windows:
-                        yield rows(full, np.arange(len(full)), next_id)
+                        yield _rows(full, np.arange(len(full)), next_id)
                         next_id, full = next_id + len(full), []
                     if pooled >= block_windows * capacity:
                         window = windows(np.array([len(p[2]) // 4 for p in pool]), capacity)
-                        yield rows(pool, window, next_id)
+                        yield _rows(pool, window, next_id)
                         next_id, pool, pooled = next_id + int(window.max()) + 1, [], 0
         if full:
-            yield rows(full, np.arange(len(full)), next_id)
+            yield _rows(full, np.arange(len(full)), next_id)
             next_id += len(full)
         if pool:
-            yield rows(pool, windows(np.array([len(p[2]) // 4 for p in pool]), capacity), next_id)
+            yield _rows(pool, None)
+
+    return run
+
+
+def _place(capacity: int, block_windows: int):
+    """Pieces that the first pass left, in blocks; the last block is packed as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        next_id, pool, pooled = (1 << 61) + (TaskContext.get().partitionId() << 33), [], 0
+        for batch in batches:
+            ids = batch.column("ids")
+            flat = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4").view(np.uint8).data
+            at = (ids.offsets.to_numpy() * 4).tolist()
+            for doc_id, start, n, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")), at[:-1], at[1:]):
+                pool.append((doc_id, start, bytes(flat[a:b]), n))
+                pooled += (b - a) // 4
+                if pooled >= block_windows * capacity:
+                    window = windows(np.array([len(p[2]) // 4 for p in pool]), capacity)
+                    yield _rows(pool, window, next_id)
+                    next_id, pool, pooled = next_id + int(window.max()) + 1, [], 0
+        if pool:
+            yield _rows(pool, windows(np.array([len(p[2]) // 4 for p in pool]), capacity), next_id)
 
     return run
 
@@ -130,11 +163,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, *, capacity
 
     Each row of ``docs`` is a document, also where ids repeat or are null. A null text counts as
     empty, which leaves the end id alone. Very long texts fill windows of their own. An empty
-    table gives no rows. Other columns are not read.
+    table gives no rows. Other columns are not read. The pieces are written to the shared folder
+    once, so that no text is encoded twice; a task of the second pass takes ``REST_BLOCKS`` blocks.
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, end_id, capacity, max_piece, block_windows), SCHEMA)
+    pieces = common.materialize(rows.mapInArrow(_pack(tokenizer, end_id, capacity, max_piece, block_windows), SCHEMA), "pieces")
+    rest = pieces.filter("sequence_id is null")
+    total = rest.agg(F.sum("length").alias("n")).first().n or 0
+    rest = rest.coalesce(max(1, total // (REST_BLOCKS * block_windows * capacity)))
+    return pieces.filter("sequence_id is not null").unionByName(rest.mapInArrow(_place(capacity, block_windows), SCHEMA))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,15 @@
-"""Near-duplicate vectors by random projection passes.
+"""Near-duplicate vectors by sorted projection passes.
 
-In each pass the signs of a few random projections put every vector in a cell, and all vectors of a
-cell are compared. There are log2(n / window) signs, rounded down, so that a cell has one or two
+In each pass vectors are ordered by their concatenated random hashes, the signs of a few random
+projections. A window is a stretch of that order with the same hashes (a cell), and all vectors of a
+window are compared: windows of a fixed number of neighbours lose pairs where vectors crowd. There are log2(n / window) signs, rounded down, so that a cell has one or two
 windows of vectors where they are spread evenly. Two vectors at the threshold share a cell with a
 probability that depends on their angle alone, so the number of passes in which a linked pair shares
 no cell with probability ``MISS`` at most holds for any data. Where vectors crowd together cells
 grow: those of more than a block are compared in blocks, and vectors that are in a cell of more than
 ``CROWD`` blocks in any pass are compared with all others of that kind instead, once. Pairs that a
-comparison verifies are united across passes. Equal vectors are one class from the start.
+comparison verifies are united across passes. Equal vectors are one class from the start; a class is
+known by a number of its own, so that rows which repeat an id with another vector stay apart.
 
 A component can be larger than a cell, so its links are then counted exactly: its members are
 compared in blocks, and only counts leave a block, never pairs.
@@ -29,6 +31,8 @@ from .components import components
 
 WINDOW, BLOCK, MISS, SEED = 512, 2048, 1e-3, 20240229
 CROWD = 4
+#: Blocks of this many times ``BLOCK`` vectors are compared to count a component's links.
+COUNT_BLOCKS = 4
 
 
 def passes_for(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
@@ -172,18 +176,22 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.9, window
 
     Vectors are linked if their cosine in double precision is at least ``threshold``. Those that are
     null, empty or zero, or hold null or non-finite components, link with nothing, and vectors of
-    different lengths are not linked. Ids are expected to be unique; rows that repeat an id and a
-    vector count as copies of each other. An empty table gives no rows. Other columns are not read.
+    different lengths are not linked. Rows that repeat an id are vectors of their own: each has the
+    smallest id that it reaches, and rows that repeat an id and a vector are copies of each other. A
+    null id is kept apart. An empty table gives no rows. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    common.ship(spark)
+    common.ship(vectors.sparkSession)
+    with common.scope(vectors.sparkSession, "vectors", "vector-class-links"):
+        return _near_duplicates(vectors, threshold, window, block, miss, seed)
+
+
+def _near_duplicates(vectors: DataFrame, threshold: float, window: int, block: int, miss: float, seed: int) -> DataFrame:
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     printed = common.materialize(rows.mapInArrow(_print, f"vec_id long, f1 long, f2 long, embedding {kind}"), "vectors")
-    classes = printed.filter("f1 is not null and vec_id is not null").groupBy("f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    classes = common.materialize(classes, "vector-classes")
-    reps = printed.join(classes.select("rep", "size"), F.col("vec_id") == F.col("rep"), "left_semi").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("rep"), "embedding")
-    reps = common.materialize(reps, "vector-reps")
+    classes = printed.filter("f1 is not null and vec_id is not null").groupBy("f1", "f2").agg(F.min("vec_id").alias("head"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    classes = common.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    reps = classes.select("rep", "embedding")
     n = classes.count()
     bits = max(0, math.floor(math.log2(max(n, 1) / window)))
     passes = passes_for(n, threshold, window, miss) if bits else 1
@@ -205,18 +213,19 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.9, window
     links = common.materialize(cells.mapInArrow(_compare(threshold), "a long, b long").distinct(), "vector-links")
     found = common.materialize(components(links), "vector-components")
 
-    count = found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).withColumnRenamed("component", "c")
+    count = found.groupBy("component").agg(F.ceil(F.count("*") / (COUNT_BLOCKS * block)).cast("int").alias("nb")).withColumnRenamed("component", "c")
     members = found.join(count, F.col("component") == F.col("c")).select("component", "nb", "node")
-    members = members.join(classes.select("rep", "size"), F.col("node") == F.col("rep")).select("component", "nb", "rep", "size")
-    members = members.join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
+    members = members.join(classes.select("rep", "size", "embedding"), F.col("node") == F.col("rep")).select("component", "nb", "rep", "size", "embedding")
     members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     tasks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     tasks = members.select("component", F.inline(tasks), "own", "rep", "size", "embedding")
     tasks = tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
     counts = tasks.mapInArrow(_count(threshold), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "counted")
 
-    of = classes.join(found, F.col("rep") == F.col("node"), "left").join(counts, F.col("rep") == F.col("counted"), "left")
-    of = of.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("comp"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    heads = classes.select("f1", "f2", "rep", "head", "size")
+    first = found.join(heads, F.col("node") == F.col("rep")).groupBy("component").agg(F.min("head").alias("comp")).withColumnRenamed("component", "c")
+    of = heads.join(found, F.col("rep") == F.col("node"), "left").join(first, F.col("component") == F.col("c"), "left").join(counts, F.col("rep") == F.col("counted"), "left")
+    of = of.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("comp", "head").alias("comp"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     of = common.materialize(of, "vector-class-links")
     out = printed.select("vec_id", "f1", "f2").join(of, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     known = F.col("vec_id").isNotNull()

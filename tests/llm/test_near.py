@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -111,6 +112,55 @@ def test_near_vectors_in_a_crowded_region(spark):
         assert len(lost) <= 2, (len(lost), len(linked))
 
 
+def test_repeated_ids_stay_apart(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.01]), (3, [0.01, 0.99]), (3, [0.01, 0.99]), (4, [-1.0, -1.0])]
+    got = sorted(tuple(r) for r in vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)])
+    r = random.Random(6)
+    a, b, c = (" ".join("".join(r.choice("abcdeilnorst") for _ in range(6)) for _ in range(90)) for _ in range(3))
+    docs = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, b), (1, c), (4, c + " x"), (4, c + " x"), (5, None), (5, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == sorted([(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1), (4, 1), (4, 1), (5, 5), (5, 5)])
+    groups = {}
+    for x in got:
+        groups.setdefault(x.component, []).append(x.doc_id)
+    assert sorted(map(sorted, groups.values())) == [[1, 2], [1, 3, 4], [1, 4, 4], [5, 5]]
+
+
+def test_a_star_of_many_members_and_blocks_by_size(spark, monkeypatch):
+    """Copies of a leader's text, and blocks that are cut by shingles rather than documents."""
+    for name, value in (("STAR", 3), ("BLOCK", 4), ("BLOCK_SHINGLES", 300), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(minhash, name, value)
+    r = random.Random(8)
+    base, rows = ["".join(r.choice("abcdeilnorst") for _ in range(6)) for _ in range(100)], []
+    for i in range(40):
+        w = list(base)
+        for j in r.sample(range(100), r.randint(0, 12)):
+            w[j] = "".join(r.choice("abcdeilnorst") for _ in range(6))
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert got == near_groups(rows, 2)
+
+
+@pytest.mark.parametrize("shape", ["uniform", "clusters", "cone"])
+def test_recall_of_planted_pairs(spark, shape):
+    """Pairs at a cosine just above the threshold that no chain of links joins."""
+    r = np.random.Generator(np.random.PCG64(12))
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(r.standard_normal((6000, 64)))
+    centres = {"uniform": np.zeros((1, 64)), "clusters": unit(r.standard_normal((5, 64))), "cone": unit(r.standard_normal((1, 64)))}[shape]
+    share = {"uniform": 0.0, "clusters": 0.5, "cone": 0.75}[shape]
+    x = unit(np.sqrt(share) * centres[r.integers(0, len(centres), 6000)] + np.sqrt(1 - share) * x)
+    off = unit((o := r.standard_normal((500, 64))) - (o * x[:500]).sum(axis=1, keepdims=True) * x[:500])
+    cosine = r.uniform(0.901, 0.92, 500)[:, None]
+    x = np.concatenate([x, cosine * x[:500] + np.sqrt(1 - cosine**2) * off])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {q.vec_id: q.component_id for q in vectors.near_duplicate_vectors(df, window=32, block=256).collect()}
+    recall = np.mean([got[i] == got[6000 + i] for i in range(500)])
+    print(shape, recall)
+    assert recall >= 0.99
+
+
 def test_odd_vector_tables(spark):
     kind = "label int, vec_id long, embedding array<float>, size long"
     assert vectors.near_duplicate_vectors(spark.createDataFrame([], kind)).count() == 0

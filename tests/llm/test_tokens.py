@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 
 from helpers import crc
 from spindle.llm import common, packing, token_files, tokens
 
+SF = os.environ.get("TEST_SF_DIR_PADDING", "/root/testdata/sf0.01")
 BYTE, WORDS = (tokens.tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
@@ -61,6 +64,18 @@ def test_packing(docs, rows):
         assert sum(n for _, n in inside) <= 4096
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("parts", [1, 64, 211])
+def test_padding_does_not_depend_on_the_layout(spark, parts):
+    """Of all whole documents, however they are split; all ids are there once, and windows are near-equal."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(parts)
+    got = packing.pack_documents(docs, WORDS, 2).select("sequence_id", "length").collect()
+    _, place = np.unique([r.sequence_id for r in got], return_inverse=True)
+    fill = np.bincount(place, [r.length for r in got])
+    assert fill.max() <= 4096 and 1 - fill.sum() / (4096 * len(fill)) < 0.02
+    assert fill.min() > 0.9 * 4096
+
+
 def test_packing_odd_tables(empty, repeated):
     assert packing.pack_documents(empty, WORDS).count() == 0
     got = packing.digest_pieces(packing.pack_documents(repeated, WORDS)).collect()
