@@ -1,10 +1,10 @@
 """Mixing sources to target weights.
 
-A document's key is a hash of its id, so the order within a source is random and the same in every
-run. The key's leading bits cut each source into ``BUCKETS`` ranges of about equal size; their
-totals, summed in order, tell in which range a source's budget ends. Ranges before it are taken
-whole, those after it not, and only that one range is sorted to find the exact cut. Where a target
-exceeds what a source has, all of it is taken as often as it fits (epochs) before the cut.
+A document's key is a hash of its id and text, so the order within a source is random and the same in
+every run. The key's leading bits cut each source into 1024 ranges of about equal size; their
+totals, summed in order, tell in which range a source's budget ends. While that range has more than
+``CUT_ROWS`` rows, the next bits cut it again. Ranges before it are taken whole, those after it not,
+and only that one range is sorted to find the exact cut. Where a target exceeds what a source has, all of it is taken as often as it fits (epochs) before the cut.
 No expression leaves the JVM.
 """
 
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 1024
+#: Bits of the key, and how many of them each refinement reads.
+KEY_BITS, STEP_BITS = 60, 10
+#: The range in which a budget ends is refined until it has no more rows than this.
+CUT_ROWS = 100_000
 WEIGHTS = (3, 1, 2)
 #: Plans of more sources than this are joined, not broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 50_000
@@ -30,11 +33,38 @@ def word_count(text: Column) -> Column:
 
 
 def mix_key(seed: str) -> Column:
-    """60 random bits for each ``doc_id``; rows with the same id have the same key."""
-    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """60 random bits for each ``doc_id`` and ``text``; rows equal in both have the same key."""
+    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
+def _range(shift: str | int) -> Column:
+    return F.expr(f"shiftright(mix_key, {shift})")
+
+
+def _end(ranges: DataFrame) -> DataFrame:
+    """Of ranges (s, bucket, n, m, base, budget), the one of each source in which the budget ends."""
+    order = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    return ranges.filter("before <= budget and budget < before + n").select("s", "bucket", "before", "m")
+
+
+def _refine(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Ends (s, budget, bucket, before, m, shift) whose range has at most ``CUT_ROWS`` rows, or keys that are all equal."""
+    spark = rows.sparkSession
+    while True:
+        wide = ends.filter((F.col("m") > CUT_ROWS) & (F.col("shift") > 0))
+        if wide.isEmpty():
+            return ends
+        finer = wide.select("s", "budget", F.col("before").alias("base"), F.col("bucket").alias("of"), F.col("shift").alias("was"), F.greatest(F.col("shift") - STEP_BITS, F.lit(0)).alias("shift"))
+        small = F.broadcast(finer) if finer.count() <= BROADCAST_SOURCES else finer
+        inside = rows.join(small, F.col("source").eqNullSafe(F.col("s")) & (_range("was") == F.col("of")))
+        ranges = inside.groupBy("s", "budget", "base", "shift", _range("shift").alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("m"))
+        found = finer.select(F.col("s").alias("fs"), "budget", "shift").join(_end(ranges), F.col("fs").eqNullSafe(F.col("s"))).drop("fs")
+        rest = ends.filter((F.col("m") <= CUT_ROWS) | (F.col("shift") <= 0))
+        ends = common.materialize(rest.unionByName(found.select(*rest.columns)), "mix-ends")
+
+
 def plan_sources(rows: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5, epochs: int = 2) -> DataFrame:
     """A row for each source: its size, target, whole epochs, and where its last epoch is cut.
 
@@ -43,8 +73,8 @@ def plan_sources(rows: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5,
     cap over weight, the share of a weight that results is the largest of
     (total - caps before) / (weights from here on).
     """
-    spark = rows.sparkSession
-    buckets = rows.groupBy("source", F.shiftright("mix_key", 50).alias("bucket")).agg(F.sum("size").alias("n"))
+    first = KEY_BITS - STEP_BITS
+    buckets = rows.groupBy("source", _range(first).alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("m"))
     buckets = common.materialize(buckets, "mix-buckets")
     of = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
@@ -58,10 +88,12 @@ def plan_sources(rows: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5,
     of = of.withColumn("target", F.least(F.col("cap").cast("double"), F.max("share").over(every) * F.col("weight")))
     budget, size = F.floor("target"), F.greatest("source_size", F.lit(1))
     of = of.withColumn("whole", F.floor(budget / size)).withColumn("rest", budget - F.col("whole") * F.col("source_size"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = buckets.withColumn("before", before).withColumnRenamed("source", "s")
-    plan = of.join(ends, of.source.eqNullSafe(ends.s) & (ends.before <= of.rest) & (of.rest < ends.before + ends.n), "left")
-    plan = plan.select("source", "source_size", "target", "whole", "rest", F.coalesce("bucket", F.lit(-1)).alias("cut_bucket"), F.coalesce("before", F.lit(0)).alias("cut_before"))
+    of = common.materialize(of.select("source", "source_size", "target", "whole", "rest"), "mix-sources")
+    ranges = buckets.withColumnRenamed("source", "s").join(of.select("source", F.col("rest").alias("budget")), F.col("s").eqNullSafe(F.col("source"))).drop("source").withColumn("base", F.lit(0).cast("long"))
+    ends = of.select(F.col("source").alias("fs"), F.col("rest").alias("budget")).join(_end(ranges), F.col("fs").eqNullSafe(F.col("s"))).drop("fs")
+    ends = _refine(rows, common.materialize(ends.withColumn("shift", F.lit(first)), "mix-ends")).drop("budget")
+    plan = of.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
+    plan = plan.select("source", "source_size", "target", "whole", "rest", F.coalesce("bucket", F.lit(-1)).alias("cut_bucket"), F.coalesce("before", F.lit(0)).alias("cut_before"), F.coalesce("shift", F.lit(first)).alias("cut_shift"))
     plan = common.materialize(plan, "mix-plan").withColumnRenamed("source", "plan_source")
     return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
 
@@ -69,7 +101,7 @@ def plan_sources(rows: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5,
 def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds ``source_size``, ``target`` and ``taken``, the words taken of each row, repeats counted."""
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
-    bucket = F.shiftright("mix_key", 50)
+    bucket = _range("cut_shift")
     clear = rows.filter(bucket != F.col("cut_bucket"))
     clear = clear.withColumn("taken", (F.col("whole") + (bucket < F.col("cut_bucket")).cast("long")) * F.col("size"))
     order = Window.partitionBy("source").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +109,7 @@ def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
     before = F.col("cut_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
     cut = cut.withColumn("taken", F.col("whole") * F.col("size") + part)
-    return clear.unionByName(cut).drop("whole", "rest", "cut_bucket", "cut_before")
+    return clear.unionByName(cut).drop("whole", "rest", "cut_bucket", "cut_before", "cut_shift")
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
@@ -88,8 +120,15 @@ def mix_amounts(docs: DataFrame, *, weights: tuple = WEIGHTS, ratio: float = 1.5
     """How many words the mix takes of each document: ``doc_id, size, source_size, target, taken``.
 
     A null source is a source of its own, the last; a null text has size 0. Rows that repeat an id
-    are documents of their own. An empty table gives no rows. Other columns are not read.
+    or have none are documents of their own; those that agree in id and text are interchangeable.
+    Very long texts are one document, cut within where a budget ends. An empty table gives no rows.
+    Other columns are not read.
     """
+    with common.scope(docs.sparkSession, "mix-sizes", "mix-plan"):
+        return _amounts(docs, weights, ratio, epochs, seed)
+
+
+def _amounts(docs: DataFrame, weights: tuple, ratio: float, epochs: int, seed: str) -> DataFrame:
     rows = sized(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")), seed).drop("text")
     rows = common.materialize(rows, "mix-sizes")
     return take(rows, plan_sources(rows, weights, ratio, epochs)).select("doc_id", "size", "source_size", "target", "taken")
@@ -101,9 +140,10 @@ def mix_documents(docs: DataFrame, *, weights: tuple = WEIGHTS, ratio: float = 1
     Documents without words are not taken. A cut copy keeps its first words with the space before each.
     """
     names = docs.columns
-    own = {c: f"_{c}" for c in ("size", "mix_key", "source_size", "target", "taken", "plan_source", "whole", "rest", "cut_bucket", "cut_before", "_copy")}
+    own = {c: f"_{c}" for c in ("size", "mix_key", "source_size", "target", "taken", "plan_source", "whole", "rest", "cut_bucket", "cut_before", "cut_shift", "_copy")}
     held = docs.withColumnsRenamed({k: f"_own{v}" for k, v in own.items() if k in names})
-    plan = plan_sources(common.materialize(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes"), weights, ratio, epochs)
+    with common.scope(docs.sparkSession, "mix-plan"):
+        plan = plan_sources(common.materialize(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes"), weights, ratio, epochs)
     rows = take(sized(held, seed), plan)
     full, rest = F.expr("taken div greatest(size, 1)"), F.expr("taken % greatest(size, 1)")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
@@ -121,7 +161,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS mix_key
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS mix_key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, 2 * source_size AS cap FROM s),

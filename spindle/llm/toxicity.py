@@ -23,7 +23,7 @@ from .boosting import Boosted, isotonic
 
 #: The classifier is fitted on about this many labelled rows at most, drawn by a hash of their id.
 SAMPLE_ROWS = 20_000
-STEMS = 4_000
+#: Beginnings of words that count as stems, beside whole words.
 STEM_LENGTHS = (4, 5, 6)
 MIN_SUPPORT, MIN_PURITY = 5, 0.9
 THRESHOLD = 0.3
@@ -137,8 +137,8 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns)):
-            words = {w for w in _WORDS.findall(text.lower()) if 3 < len(w) <= 40}
-            counts.update((s, half, toxic) for s in {w[:n] for w in words for n in (*STEM_LENGTHS, 40)})
+            words = set(_WORDS.findall(text.lower()))
+            counts.update((s, half, toxic) for s in words | {w[:n] for w in words for n in STEM_LENGTHS if len(w) > n})
             if len(counts) > 500_000:
                 yield flush()
                 counts.clear()
@@ -170,22 +170,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     """Learn from the labelled rows that aren't held out, about ``sample_rows`` of them at most.
 
     Rows with a null label or id are left out; a document with several labels counts as toxic if any
-    says so. Copies of a text count once. Without rows of both labels the score is the rate of label 1.
+    says so. Copies of a text count once, as toxic if any copy is. Without rows of both labels the
+    score is the rate of label 1. All stems that the sample supports are learned; their number is
+    bounded by the sample, since each needs toxic documents of its own.
     """
     common.ship(docs.sparkSession)
+    with common.scope(docs.sparkSession):
+        return _fit(docs, labels, sample_rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Model:
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null").filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample_rows / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
     text = common.text_or_empty().alias("text")
     sample = docs.select("doc_id", text).join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "toxic", F.xxhash64("text").alias("h"))
-    sample = sample.dropDuplicates(["h"]).select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64("h"), F.lit(4)).cast("int").alias("draw"))
+    sample = sample.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64("h"), F.lit(4)).cast("int").alias("draw"))
     sample = common.materialize(sample, "labelled")
 
     stems = sample.select("text", "toxic", "half").mapInArrow(_stems, "stem string, half int, toxic int, n long")
     of = lambda toxic, half: F.sum(F.when((F.col("toxic") == toxic) & (F.col("half") == half), F.col("n")).otherwise(0))
     stems = stems.groupBy("stem").agg(of(1, 0).alias("t0"), of(1, 1).alias("t1"), of(0, 0).alias("c0"), of(0, 1).alias("c1"))
-    stems = stems.filter(f"t0 + t1 >= 3 and t0 + t1 >= {MIN_PURITY} * (t0 + t1 + c0 + c1)").orderBy(F.expr("t0 + t1").desc(), "stem").limit(STEMS).collect()
+    stems = stems.filter(f"t0 + t1 >= 3 and t0 + t1 >= {MIN_PURITY} * (t0 + t1 + c0 + c1)").collect()
     learned = _select(stems, (0, 1))
     rows = sample.select("text", "toxic", "half", "draw").mapInArrow(_featured((_select(stems, (0,)), _select(stems, (1,)))), "toxic int, draw int, x array<double>").collect()
     y, draw = np.array([r.toxic for r in rows], float), np.array([r.draw for r in rows])
@@ -212,9 +219,10 @@ def _scored(model: Model, at: int, names: list[str]):
 
 
 def score_documents(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
-    """``docs`` with the score (0 to 1) of each whole text; a null text counts as empty.
+    """``docs`` with the score (0 to 1) of each whole text, however long; a null text counts as empty.
 
-    A column of that name is replaced. An empty table gives no rows.
+    Equal texts have equal scores, whatever their ids. A column of that name is replaced; all others
+    stay. An empty table gives no rows.
     """
     common.ship(docs.sparkSession)
     docs = docs.drop(column)

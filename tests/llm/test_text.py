@@ -197,6 +197,19 @@ def test_mix(docs, rows):
     assert {i: r.taken for i, r in got.items()} == {r.doc_id: r.taken for r in mixing.mix_amounts(docs.repartition(5)).collect()}
 
 
+def test_a_budget_that_ends_in_a_crowded_range(spark, docs, repeated, monkeypatch):
+    """Refined ranges cut where one sorted range would."""
+    want = {r.doc_id: r.taken for r in mixing.mix_amounts(docs).collect()}
+    monkeypatch.setattr(mixing, "CUT_ROWS", 0)
+    assert {r.doc_id: r.taken for r in mixing.mix_amounts(docs).collect()} == want
+    rows = [(None, f"text {i} " * (i % 5 + 1), "a") for i in range(60)] + [(7, "the same text", "a")] * 20 + [(8, None, "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((r.size, r.taken) for r in mixing.mix_amounts(df).collect())
+    total = sum(len(WORD.findall(t or "")) for _, t, _ in rows)
+    assert sum(t for _, t in got) == int(1.5 * total) and got == sorted((r.size, r.taken) for r in mixing.mix_amounts(df.repartition(5)).collect())
+    assert sum(len(WORD.findall(r.text)) for r in mixing.mix_documents(df).collect()) == int(1.5 * total)
+
+
 def test_mixed_documents(docs, empty, repeated):
     amounts = {r.doc_id: r.taken for r in mixing.mix_amounts(docs).collect()}
     out = mixing.mix_documents(docs)
