@@ -8,7 +8,8 @@ import pytest
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from helpers import WORD, near_groups  # noqa: E402
-from spindle.llm import mixing, packing, secrets, tokens, toxicity  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from spindle.llm import common, mixing, packing, secrets, tokens, toxicity  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -80,9 +81,23 @@ def test_rows_that_repeat_an_id_with_another_text(spark):
     assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted(want, key=str)
 
 
-def test_run_is_the_stages_in_turn(spark, sf_dir):
+def test_clashing_columns_stay(spark, sf_dir):
+    names = ["toxicity", "text_hash", "kept_id", "Kept_Hash", "_rows", "_kept", "size", "spans", "component"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in pipeline.STAGES[:-1]:
+        before = wide.columns
+        wide = stage(spark, wide, sf_dir)
+        assert wide.columns == before
+    got = wide.collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names if r.doc_id is not None)
+
+
+def test_run_is_the_stages_in_turn(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
     got = pipeline.run(spark, sf_dir)
     assert got.columns == [f.split()[0] for f in packing.SCHEMA.split(", ")] and got.count() > 0
+    assert [p.name.rsplit("-", 1)[1] for p in tmp_path.iterdir() if p.is_dir()] == ["pieces"]  # all else is deleted
 
 
 def test_empty_table(spark, sf_dir, tmp_path):
