@@ -12,31 +12,41 @@ from pyspark.sql import functions as F
 from spindle.llm import common, minhash, mixing, packing, secrets, tokens, toxicity
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels beside them, rejects go."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, model, "_toxicity")
-    return scored.filter(scored["_toxicity"] < toxicity.THRESHOLD).drop("_toxicity")
+    score = _fresh(docs, "toxicity")
+    scored = toxicity.score_documents(docs, model, score)
+    return scored.filter(scored[score] < toxicity.THRESHOLD).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id, once.
 
-    Rows with the same id and different texts are different documents; those without an id all stay.
+    Rows with the same id and different texts are different documents; rows that repeat an id and a
+    text stay once, whichever of them; rows without an id all stay.
     """
-    found = common.materialize(minhash.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "kept")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).drop("_kept")
-    rows = docs.withColumn("_text", F.sha2(F.col("text").cast("binary"), 256))
-    known = rows.filter("doc_id is not null").dropDuplicates(["doc_id", "_text"])
-    keys = known.select("doc_id", "_text", "text").orderBy("doc_id", "_text").withColumn("_key", F.monotonically_increasing_id())
-    keys = common.materialize(keys, "keys")
-    found = minhash.near_duplicates(keys.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80)
-    kept = keys.join(found.filter("kept").select(F.col("doc_id").alias("_key")), "_key").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
-    kept = common.materialize(kept, "kept")
-    out = known.join(kept, (F.col("doc_id") == F.col("_id")) & F.col("_text").eqNullSafe(F.col("_hash"))).drop("_id", "_hash")
-    return out.unionByName(rows.filter("doc_id is null")).drop("_text")
+    with common.scope(spark, "kept"):
+        found = minhash.near_duplicates(docs, shingle=5, percent=80).filter("doc_id is not null")
+        found = common.materialize(found.select("doc_id", "text_hash", "component"), "found")
+        grouped = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+        keys = grouped.unionByName(found.filter("component is null").select("doc_id", "text_hash")).distinct()
+        keys = common.materialize(keys.toDF("kept_id", "kept_hash"), "kept")
+        repeated = found.groupBy("doc_id", "text_hash").count().filter("count > 1").join(keys, (F.col("doc_id") == F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+        repeats = not repeated.isEmpty()
+    names = [_fresh(docs, n) for n in ("text_hash", "kept_id", "kept_hash")]
+    hashed, keys = docs.withColumn(names[0], F.xxhash64(common.text_or_empty())), keys.toDF(*names[1:])
+    out = hashed.join(keys, (F.col("doc_id").cast("long") == F.col(names[1])) & (F.col(names[0]) == F.col(names[2])), "left_semi")
+    out = out.dropDuplicates(["doc_id", names[0]]) if repeats else out
+    return out.unionByName(hashed.filter("doc_id is null")).drop(names[0])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again."""
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages, each written as Parquet and read again; a stage's table goes when the next one stands."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    with common.scope(spark, "pieces"):
+        for name, stage in STAGES[:-1]:
+            with common.scope(spark, f"stage-{name}"):
+                docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            if before is not None:
+                common.discard(spark, before)
+            before = docs
+        return STAGES[-1][1](spark, docs, sf_dir)
