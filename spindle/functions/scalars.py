@@ -23,11 +23,23 @@ def cusip8(cusip: Column) -> Column:
     return F.substring(cusip, 1, 8)
 
 
-def filing_urls(cik: Column, accession: Column, host: str) -> dict[str, Column]:
-    """Folder, index page and full text of a filing."""
+#: The stylesheet of the viewer of insider filings: a fixed value.
+VIEWER = "xslF345X03/primarydocument.xml"
+
+
+def filing_urls(cik: Column, accession: Column, host: str, document: Column | None = None) -> dict[str, Column]:
+    """Folder, one document, viewer, index page and full text of a filing."""
     bare = F.replace(accession, F.lit("-"), F.lit(""))
     folder = F.concat(F.lit(f"{host}/Archives/edgar/data/"), plain_cik(cik), F.lit("/"), bare)
-    return {"folder": folder, "index": F.concat(folder, F.lit("/"), accession, F.lit("-index.htm")), "full_text": F.concat(folder, F.lit("/"), accession, F.lit(".txt"))}
+    below = lambda *parts: F.concat(folder, F.lit("/"), *parts)
+    out = {"folder": folder, "viewer": below(F.lit(VIEWER)), "index": below(accession, F.lit("-index.htm")), "full_text": below(accession, F.lit(".txt"))}
+    return out | {"document": below(document)} if document is not None else out
+
+
+def document_names(accession: Column, ticker: Column, year: Column) -> Column:
+    """Names under which the main document of an annual report is tried, in order."""
+    low = F.lower(ticker)
+    return F.array(F.concat(accession, F.lit(".txt")), F.concat(low, F.lit("-"), year.cast("string"), F.lit("1231.htm")), F.concat(low, F.lit("10k.htm")), F.lit("10-k.htm"))
 
 
 def basename(path: Column) -> Column:
@@ -42,22 +54,69 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"(?<=.)(\.[^.]*)$", 1))
 
 
-#: MIME types by suffix: fixed values. The three defaults differ by use.
+#: MIME types by suffix for each use, and what a use takes for other suffixes: fixed values.
+_IMAGES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp"}
 MIME = {
-    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".gif": "image/gif",
-    ".mp4": "video/mp4", ".mpeg": "video/mpeg", ".mov": "video/mov", ".webm": "video/webm",
-    ".wav": "audio/wav", ".mp3": "audio/mp3", ".ogg": "audio/ogg", ".flac": "audio/flac",
-    ".pdf": "application/pdf", ".txt": "text/plain", ".csv": "text/csv", ".md": "text/markdown",
-    ".html": "text/html", ".htm": "text/html", ".json": "application/json", ".xml": "application/xml",
+    "media": {
+        ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".heic": "image/heic", ".heif": "image/heif", ".gif": "image/gif",
+        ".mp4": "video/mp4", ".mpeg": "video/mpeg", ".mpg": "video/mpeg", ".mov": "video/mov", ".avi": "video/avi", ".flv": "video/x-flv",
+        ".webm": "video/webm", ".wmv": "video/wmv", ".3gpp": "video/3gpp", ".3gp": "video/3gpp",
+        ".wav": "audio/wav", ".mp3": "audio/mp3", ".aiff": "audio/aiff", ".aac": "audio/aac", ".ogg": "audio/ogg", ".flac": "audio/flac",
+        ".pdf": "application/pdf", ".txt": "text/plain", ".csv": "text/csv", ".md": "text/markdown",
+        ".html": "text/html", ".htm": "text/html", ".json": "application/json", ".xml": "application/xml",
+    },
+    "batch": {".pdf": "application/pdf", ".gif": "image/gif"} | _IMAGES,
+    "icon": {".svg": "image/svg+xml"} | _IMAGES,
 }
 MIME_DEFAULTS = {"batch": "application/octet-stream", "media": "application/octet-stream", "icon": "image/png"}
 
 
 def mime_type(path: Column, use: str = "batch") -> Column:
-    known = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in MIME[use].items() for x in pair])
     return F.coalesce(F.try_element_at(known, suffix(path)), F.lit(MIME_DEFAULTS[use]))
 
 
+#: The checker of each kind of source file, by suffix in lower case: fixed values.
+HANDLERS = {".py": "python", ".r": "r", ".do": "stata", ".ado": "stata", ".sas": "sas", ".md": "markdown", ".markdown": "markdown"}
+
+
+def handler(path: Column) -> Column:
+    """The checker that takes a file; null for other suffixes."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in HANDLERS.items() for x in pair]), suffix(path))
+
+
+def thousands(value: Column, decimals: int = 2) -> Column:
+    """A number with thousands separators and fixed decimals, rounded half to even."""
+    return F.format_number(F.bround(value.cast("decimal(28,10)"), decimals), decimals)
+
+
+def signed(value: Column, decimals: int = 1) -> Column:
+    """A number with its sign and fixed decimals, rounded half to even; zero has a plus."""
+    rounded = F.bround(value.cast("decimal(28,10)"), decimals)
+    return F.concat(F.when(rounded < 0, "").otherwise("+"), F.replace(F.format_number(rounded, decimals), F.lit(","), F.lit("")))
+
+
+def ratios(**c: Column) -> dict[str, Column]:
+    """The eight ratios of a company's accounts; null where the denominator is null or zero."""
+    over = lambda a, b: F.try_divide(a, b)
+    return {
+        "net_margin": over(c["ni"], c["revt"]), "roa": over(c["ni"], c["at"]), "roe": over(c["ni"], c["seq"]),
+        "debt_to_assets": over(c["lt"], c["at"]), "debt_to_equity": over(c["dltt"] + c["dlc"], c["seq"]),
+        "cash_ratio": over(c["che"], c["at"]),
+        "pe_ratio": over(c["mkvalt"], c["ni"]), "pb_ratio": over(c["mkvalt"], c["seq"]),
+    }
+
+
+def relative_day(today: Column, back: int = 0, unit: str = "day") -> Column:
+    """The day so many days, weekdays or years (of 365 days) before ``today``."""
+    if unit == "weekday":
+        day = today
+        for _ in range(back):
+            day = F.date_sub(day, F.when(F.weekday(day) == 0, 3).when(F.weekday(day) == 6, 2).otherwise(1))
+        return day
+    return F.date_sub(today, back * {"day": 1, "year": 365}[unit])
+
+
 def has_suffix(path: Column, *suffixes: str) -> Column:
     return suffix(path).isin(*suffixes)
 
@@ -127,6 +186,16 @@ def isbn_valid(code: Column) -> Column:
     return ten | thirteen
 
 
+def isbns(text: Column) -> Column:
+    """What looks like an ISBN in a text: runs of 10 or 13 digits (the last may be X), hyphens allowed between."""
+    return F.regexp_extract_all(text, F.lit(r"(?<![0-9A-Za-z-])((?:97[89]-?)?(?:[0-9]-?){9}[0-9Xx])(?![0-9A-Za-z-])"), F.lit(1))
+
+
+def dois(text: Column) -> Column:
+    """What has the shape of a DOI in a text."""
+    return F.regexp_extract_all(text, F.lit(r"10\.[0-9]{4,9}/[A-Za-z0-9._;()/:-]+"), F.lit(0))
+
+
 def adjusted(value: str, factor: str, order) -> Column:
     """A price times the product of all later factors; ``order`` holds the rows after the current one."""
     return F.col(value) * F.coalesce(F.product(factor).over(order), F.lit(1.0))

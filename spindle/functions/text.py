@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -23,14 +23,27 @@ def similarity(a: Column, b: Column) -> Column:
     return pandas_udf(ratio, "double")(a, b)
 
 
-def smart_quotes(text: Column) -> Column:
-    """Straight quotes become typographic ones: opening after a space or bracket, else closing."""
+def _curled(text: Column) -> Column:
     out = F.regexp_replace(text, r'(^|[\s(\[{])"', "$1“")
     out = F.regexp_replace(out, '"', "”")
     out = F.regexp_replace(out, r"(^|[\s(\[{])'", "$1‘")
     return F.regexp_replace(out, "'", "’")
 
 
+#: Code: fences of three backticks, single backticks on a line, pre and code elements.
+_CODE = r"```.*?(?:```|\z)|`[^`\n]*`|<(?:pre|code)[ >].*?</(?:pre|code)>"
+
+
+def smart_quotes(text: Column) -> Column:
+    """Straight quotes become typographic ones: opening after a space or bracket, else closing; code stays.
+
+    Parts beside code are converted each for itself.
+    """
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)(?:{_CODE})|.+?(?={_CODE}|\z)"), F.lit(0))
+    made = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(rf"(?s)\A(?:{_CODE})\z"), x).otherwise(_curled(x))), "")
+    return F.when(text.rlike("[`<]"), made).otherwise(_curled(text))
+
+
 def changed_lines(before: Column, after: Column) -> Column:
     """Lines that differ at the same place: an array of (line, before, after)."""
     a, b = F.split(before, "\n"), F.split(after, "\n")
@@ -66,6 +79,12 @@ def env_line(line: Column) -> Column:
     return F.when(line.rlike(pattern), F.struct(F.regexp_extract(line, pattern, 1).alias("key"), value.alias("value")))
 
 
+def env_values(lines: DataFrame, order: str, line: str = "value") -> DataFrame:
+    """``(key, value)`` of KEY=VALUE lines; of a key that repeats, the first line in ``order`` counts."""
+    held = lines.select(F.col(order).alias("_at"), env_line(F.col(line)).alias("kv")).filter("kv is not null")
+    return held.groupBy(F.col("kv.key").alias("key")).agg(F.min_by(F.col("kv.value"), F.col("_at")).alias("value"))
+
+
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*(?:\n|$)"
 
 

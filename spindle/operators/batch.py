@@ -39,11 +39,11 @@ def parse_results(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.withColumn("parsed", F.to_json(scalars.salvage_json(F.col("text"))))
 
 
-def job_number(order, size: int = 10_000) -> Column:
-    """Job of each request when jobs take ``size`` requests."""
-    from .relational import chunk_number
+def jobs(requests: DataFrame, order: str, size: int = 10_000) -> DataFrame:
+    """The job of each request when jobs take ``size`` requests."""
+    from .relational import chunked
 
-    return chunk_number(order, size)
+    return chunked(requests, order, size, name="job")
 
 
 def upsert(manifest: DataFrame, changes: DataFrame, key: str = "request_id", at: str = "updated_at") -> DataFrame:
@@ -91,17 +91,25 @@ def call_model(files: DataFrame, client: Callable[[], Callable[[str, bytes], str
 
 
 def retry(failed: DataFrame, run: Callable[[DataFrame], DataFrame], times: int = 3) -> DataFrame:
-    """Runs the failed rows again, up to ``times``; the last answer of each counts."""
-    done = None
-    for _ in range(times):
+    """Runs the failed rows again, up to ``times``; the last answer of each counts.
+
+    A round that is over is released; what it answered stays cached in the one table that grows.
+    """
+    done, key = None, None
+    for turn in range(times):
         out = run(failed).cache()
-        good, bad = out.filter("error is null"), out.filter("error is not null")
-        done = good if done is None else done.unionByName(good)
-        if bad.isEmpty():
-            return done
         key = out.columns[0]
-        failed = failed.join(bad.select(key), key, "left_semi")
-    return done.unionByName(bad)
+        last = turn == times - 1 or out.filter("error is not null").isEmpty()
+        more = out if last else out.filter("error is null")
+        joined = (more if done is None else done.unionByName(more)).cache()
+        joined.count()
+        if done is not None:
+            done.unpersist()
+        done = joined
+        if last:
+            return done
+        failed = failed.join(out.filter("error is not null").select(key), key, "left_semi")
+    return done
 
 
 def step_log(df: DataFrame, step: str) -> DataFrame:

@@ -16,6 +16,8 @@ def profile(df: DataFrame, date: str | None = None) -> dict[str, DataFrame]:
         "describe": stats.describe_exact(df) if stats.numeric(df) else None,
         "nulls": stats.null_counts(df),
         "duplicates": stats.duplicate_count(df),
+        "head": df.limit(5),
+        "value_counts": {c: stats.value_counts(df, c) for c, t in df.dtypes if t == "string"},
     }
     if date:
         out["dates"] = df.agg(F.min(date).alias("first"), F.max(date).alias("last"))
@@ -43,12 +45,57 @@ def assert_not_empty(df: DataFrame, what: str = "result") -> DataFrame:
 
 def issues(df: DataFrame, column: str) -> DataFrame:
     """The issues of a numeric column: missing, repeated, outliers by quartile range, cardinality, skew."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[0]).alias("q1"), F.col("q")[1].alias("q3"))
+    q = stats.quantiles(df, [], column, 0.25, 0.75).select(F.col("p25").alias("q1"), F.col("p75").alias("q3"))
     out = (F.col(column) < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col(column) > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     rows = df.select(column).join(F.broadcast(q))
     return rows.agg(F.count_if(F.col(column).isNull()).alias("missing"), (F.count(column) - F.count_distinct(column)).alias("repeated"), F.count_if(out).alias("outliers"), F.count_distinct(column).alias("distinct_values"), F.skewness(column).alias("skew"))
 
 
+#: What must be shown after each kind of operation: fixed values.
+REQUIRED = {
+    "load": ("shape", "dtypes", "head"),
+    "filter": ("before", "after", "pct_removed"),
+    "join": ("shape", "nulls", "sample"),
+    "group": ("shape", "sample"),
+    "transform": ("before", "after", "sample"),
+    "fit": ("metrics", "convergence"),
+    "predict": ("distribution", "sample"),
+}
+
+
+def audited(operation: str, result: DataFrame, before: DataFrame | None = None, sample: int = 5, **shown) -> dict:
+    """The outputs that ``REQUIRED`` asks for after an operation; ValueError names those that can't be made.
+
+    Those of a model (metrics, convergence, distribution) must be passed.
+    """
+    rows = lambda df: df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"))
+    made: dict = dict(shown)
+    if operation == "filter" and before is not None:
+        a, b = rows(before).first().rows, rows(result).first().rows
+        made |= {"before": a, "after": b, "pct_removed": 100 * (a - b) / a if a else None}
+    elif before is not None:
+        made |= {"before": rows(before), "after": rows(result)}
+    made |= {"shape": rows(result), "dtypes": result.dtypes, "head": result.limit(sample), "sample": result.limit(sample), "nulls": stats.null_counts(result)}
+    missing = [k for k in REQUIRED[operation] if k not in made]
+    if missing:
+        raise ValueError(f"{operation} must show {', '.join(missing)}")
+    return {k: made[k] for k in REQUIRED[operation]}
+
+
+def post_query(df: DataFrame, critical: list[str], date: str | None = None) -> DataFrame:
+    """One row after a query: its rows, nulls in each critical column, and the range of a date."""
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in critical]
+    dates = [F.min(date).alias("first"), F.max(date).alias("last")] if date else []
+    return df.agg(F.count("*").alias("rows"), *nulls, *dates)
+
+
+def assert_requests(lines: DataFrame, **names) -> None:
+    """ValueError with the first findings, by line, if any line of batch requests has an error."""
+    found = validate_requests(lines, **names).filter("severity = 'error'").orderBy("line_no", "message").limit(10).collect()
+    if found:
+        raise ValueError("; ".join(f"line {r.line_no}: {r.message}" for r in found))
+
+
 def confident(df: DataFrame, column: str = "confidence", least: float = 80) -> DataFrame:
     return df.filter(F.col(column) >= least)
 
@@ -75,7 +122,8 @@ def validate_requests(lines: DataFrame, strict: bool = False, line_no: str = "li
     first = F.try_element_at("r.request.contents", F.lit(1))
     uris = F.transform(F.filter(first["parts"], lambda p: p["fileData"].isNotNull()), lambda p: F.coalesce(p["fileData"]["fileUri"], F.lit("")))
     rows = rows.select("line_no", "raw", F.col("json").isNotNull().alias("parsed"), has("$.request").alias("has_request"), has("$.request.contents").alias("has_contents"), F.coalesce(F.size("r.request.contents"), F.lit(0)).alias("n"), first["role"].alias("role"), F.coalesce(uris, F.array()).alias("uris"), F.nullif(F.col("r.metadata.request_id"), F.lit("")).alias("id"))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("line_no"))
+    alone = F.when(F.col("id").isNull(), F.col("line_no"))  # lines without an id don't meet in one task
+    nth = F.row_number().over(Window.partitionBy("id", alone).orderBy("line_no"))
     rows = rows.withColumn("nth", F.when(F.col("id").isNotNull(), nth))
     soft = "error" if strict else "warning"
     say = lambda when, severity, text: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(text).alias("message")))

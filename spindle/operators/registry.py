@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -28,11 +28,53 @@ def resolve(personal: DataFrame, base: DataFrame, prefer: str = "personal") -> D
     return dedupe_keep(both.withColumn("_first", (F.col("origin") == prefer).cast("int")), "name", "_first", "last").drop("_first")
 
 
-def catalogue_rows(skills: DataFrame, order: tuple = ("FREE", "CHEAP", "EXPENSIVE")) -> DataFrame:
+#: Costs from low to high: fixed values.
+COSTS = ("FREE", "CHEAP", "EXPENSIVE")
+
+
+def lookup(skills: DataFrame, *, name: str | None = None, category: str | None = None, cost: str | None = None, parent: str | None = None) -> DataFrame:
+    """The skills of a name, a category, a cost or a parent, or of several at once; all without any."""
+    wanted = {"name": name, "category": category, "cost": cost, "parent_skill": parent}
+    for column, value in wanted.items():
+        skills = skills.filter(F.col(column) == value) if value is not None else skills
+    return skills
+
+
+def cost_rank(cost: str = "cost") -> Column:
+    return F.array_position(F.array(*map(F.lit, COSTS)), F.upper(cost))
+
+
+def catalogue_rows(skills: DataFrame) -> DataFrame:
     """Markdown table rows, by the rank of their cost and then by name."""
-    rank = F.array_position(F.array(*map(F.lit, order)), F.upper("cost"))
     row = tx.markdown_row(F.col("name"), F.col("description"), F.col("cost"))
-    return skills.select("name", rank.alias("rank"), row.alias("row")).orderBy("rank", "name")
+    return skills.select("name", cost_rank().alias("rank"), row.alias("row")).orderBy("rank", "name")
+
+
+def _called(name: str = "name") -> Column:
+    return F.concat(F.lit("`/"), F.col(name), F.lit("`"))
+
+
+def trigger_rows(skills: DataFrame) -> DataFrame:
+    """Rows of the trigger table, by the text of the cost: domain, skill and trigger words (``triggers``: domain, trigger).
+
+    Skills without triggers have no row.
+    """
+    some = skills.filter(F.size(F.coalesce("triggers", F.array())) > 0)
+    words = F.array_join(F.transform("triggers", lambda t: t["trigger"]), ", ")
+    return some.select("name", F.col("cost").alias("rank"), tx.markdown_row(F.col("triggers")[0]["domain"], _called(), words).alias("row")).orderBy("rank", "name")
+
+
+def cost_rows(skills: DataFrame) -> DataFrame:
+    """Rows of the cost table, by the rank of the cost: skill, cost and the first of ``use_when``."""
+    use = F.coalesce(F.try_element_at("use_when", F.lit(1)), F.lit("General use"))
+    return skills.select("name", cost_rank().alias("rank"), tx.markdown_row(_called(), F.col("cost"), use).alias("row")).orderBy("rank", "name")
+
+
+def delegation_rows(skills: DataFrame) -> DataFrame:
+    """Rows of the delegation table: domain, skill, the first of ``use_when`` and of ``avoid_when``."""
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit("N/A"))
+    some = skills.filter(F.size(F.coalesce("triggers", F.array())) > 0)
+    return some.select("name", tx.markdown_row(F.col("triggers")[0]["domain"], _called(), first("use_when"), first("avoid_when")).alias("row"))
 
 
 def cell_map(notebooks: DataFrame) -> DataFrame:

@@ -47,12 +47,37 @@ def interval_join(left: DataFrame, right: DataFrame, on: Iterable[str], at: str,
     return left.join(renamed, reduce(Column.__and__, equal) & held, how).drop(*[f"_r_{k}" for k in on])
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str) -> DataFrame:
-    """Points (dates) inside closed ranges, without an equal key: both meet in months, then are checked."""
-    month = lambda c: F.trunc(F.col(c), "month")
-    spread = ranges.withColumn("_month", F.explode(F.sequence(month(start), month(end), F.expr("interval 1 month"))))
-    held = (F.col("_at_month") == F.col("_month")) & F.col(at).between(F.col(start), F.col(end))
-    return points.withColumn("_at_month", month(at)).join(spread, held).drop("_month", "_at_month")
+def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: int | None = None) -> DataFrame:
+    """Points (dates) inside closed ranges, without an equal key: both meet in bins of ``width`` days, then are checked.
+
+    Without a width it is the mean length of the ranges, so that a range lies in about two bins.
+    """
+    if width is None:
+        mean = ranges.agg(F.avg(F.date_diff(F.col(end), F.col(start)) + 1).alias("days")).first().days
+        width = max(1, round(mean or 1))
+    bin_of = lambda c: F.floor(F.unix_date(F.col(c)) / width)
+    spread = ranges.filter(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    held = (F.col("_at_bin") == F.col("_bin")) & F.col(at).between(F.col(start), F.col(end))
+    return points.withColumn("_at_bin", bin_of(at)).join(spread, held).drop("_bin", "_at_bin")
+
+
+def pair_counts(df: DataFrame, item: str, group: str, most: int = 1000) -> DataFrame:
+    """``(a, b, shared)``: in how many groups two items occur together, for all pairs with a < b.
+
+    A group of more than ``most`` items is spread: one side is dealt over as many parts as it has
+    multiples of ``most``, the other is sent to each, so that no task pairs a whole large group.
+    """
+    held = df.select(F.col(group).alias("_g"), F.col(item).alias("a")).distinct()
+    large = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).filter("_parts > 1")
+    if large.isEmpty():
+        right = held.select(F.col("_g").alias("_h"), F.col("a").alias("b"))
+        met = held.join(right, (F.col("_g") == F.col("_h")) & (F.col("a") < F.col("b")))
+        return met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    held = held.join(large, "_g", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    right = held.select(F.col("_g").alias("_h"), F.col("a").alias("b"), F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int").alias("_own"))
+    met = left.join(right, (F.col("_g") == F.col("_h")) & (F.col("_part") == F.col("_own")) & (F.col("a") < F.col("b")))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def collapse_ranges(df: DataFrame, keys, start: str, end: str, mode: str = "islands") -> DataFrame:
@@ -105,9 +130,37 @@ def top_n(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.col(by).desc_nulls_last(), *ties).limit(n)
 
 
-def sample_exact(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` random rows."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_exact(df: DataFrame, n: int, seed: int, key: str | None = None) -> DataFrame:
+    """``n`` random rows; by a digest of ``key``, if one is given, the same rows in every run and engine."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))) if key else F.rand(seed)).limit(n)
+
+
+def preview(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first and last ``n`` rows in the given order, marked ``head`` and ``tail``."""
+    columns = _cols(order)
+    tail = df.orderBy(*[c.desc_nulls_last() for c in columns]).limit(n).withColumn("part", F.lit("tail"))
+    return df.orderBy(*[c.asc_nulls_first() for c in columns]).limit(n).withColumn("part", F.lit("head")).unionByName(tail)
+
+
+def snake_case(df: DataFrame) -> DataFrame:
+    """All columns in lower case with underscores; ValueError if two become one."""
+    import re
+
+    names = [re.sub(r"[^0-9a-z]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", c).lower()).strip("_") for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns clash: {names}")
+    return df.toDF(*names)
+
+
+def any_name(df: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows whose column holds, in any case, one of the names whole or its first word.
+
+    A first word is looked up among the column's words where it is one; ``names`` is a small list
+    of inputs, and all patterns are tested against a value at once.
+    """
+    wanted = names.select(F.lower(F.trim(name)).alias("_n")).filter("_n <> ''")
+    wanted = wanted.select(F.explode(F.array("_n", F.element_at(F.split("_n", r"\s+"), 1))).alias("_n")).agg(F.collect_set("_n").alias("_names"))
+    return df.crossJoin(F.broadcast(wanted)).filter(F.exists("_names", lambda x: F.contains(F.lower(column), x))).drop("_names")
 
 
 def page(df: DataFrame, number: int, size: int, *order) -> DataFrame:
@@ -115,9 +168,31 @@ def page(df: DataFrame, number: int, size: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
-def chunk_number(order, size: int) -> Column:
-    """Which chunk of ``size`` rows a row is in, in a given order."""
-    return F.floor((F.row_number().over(Window.orderBy(*_cols(order))) - 1) / size)
+def numbered(df: DataFrame, order: str, *ties: str, name: str = "number", ranges: int = 200) -> DataFrame:
+    """Rows numbered from 0 by a column of numbers, dates or times, nulls first.
+
+    Approximate quantiles cut the column into ranges; numbers run inside a range and start after the
+    rows of the ranges before, so that no task sorts the whole table. Rows that agree in the column
+    are in one range, by ``ties``.
+    """
+    place = F.col(order).cast("double") if dict(df.dtypes)[order] != "date" else F.unix_date(order).cast("double")
+    if dict(df.dtypes)[order].startswith("timestamp"):
+        place = F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    cuts = df.agg(F.percentile_approx(place, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("c")).first().c or []
+    cuts = sorted(set(cuts))
+    marked = df.withColumn("_place", place)
+    bucket = F.when(F.col("_place").isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts).cast("array<double>") if cuts else F.array().cast("array<double>"), lambda c: c < F.col("_place"))))
+    marked = marked.withColumn("_range", bucket).drop("_place")
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    starts = marked.groupBy("_range").agg(F.count("*").alias("_rows")).select(F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order, *ties)) - 1
+    out = marked.withColumn("_own", own).join(F.broadcast(starts), F.col("_range") == F.col("_of"))
+    return out.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_of", "_before", "_own")
+
+
+def chunked(df: DataFrame, order: str, size: int, *ties: str, name: str = "chunk") -> DataFrame:
+    """Which chunk of ``size`` rows each row is in, in the order of a column."""
+    return numbered(df, order, *ties, name="_number").withColumn(name, F.floor(F.col("_number") / size)).drop("_number")
 
 
 def date_chunks(start: str, end: str, days: int) -> list[tuple[str, str]]:
@@ -148,6 +223,16 @@ class FilterPolicy:
         if missing:
             raise ValueError(f"missing filters: {', '.join(missing)}")
 
+    def check_plan(self, df: DataFrame) -> None:
+        """ValueError unless the optimised plan filters every required column by its value."""
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        filters = " ".join(line for line in plan.splitlines() if "Filter" in line or "PushedFilters" in line)
+        import re
+
+        missing = [f"{k} = {v!r}" for k, v in self.required.items() if not re.search(rf"\b{re.escape(k)}#[0-9]+L? = {re.escape(str(v))}(?![A-Za-z0-9_])", filters)]
+        if missing:
+            raise ValueError(f"the plan does not filter {', '.join(missing)}")
+
     def apply(self, df: DataFrame) -> DataFrame:
         return df.filter(all_of(F.col(k) == v for k, v in self.required.items()))
 
@@ -161,10 +246,16 @@ POLICIES = {
 
 
 def fuzzy_match(names: DataFrame, companies: DataFrame, name: str = "name", company: str = "company", threshold: float = 0.7) -> DataFrame:
-    """Companies similar to a name: candidates share its first word, then the match ratio decides."""
+    """Companies similar to a name: candidates share its first word, then the match ratio decides.
+
+    The ratio is at most twice the shorter length over the sum of both, so that pairs of too unlike
+    lengths never reach Python.
+    """
     from ..functions.text import similarity
 
     first = lambda c: F.element_at(F.split(F.upper(F.trim(c)), r"\s+"), 1)
     met = names.withColumn("_block", first(name)).join(companies.withColumn("_with", first(company)), F.col("_block") == F.col("_with"))
+    a, b = F.length(name), F.length(company)
+    met = met.filter(2 * F.least(a, b) >= threshold * (a + b))
     scored = met.drop("_block", "_with").withColumn("ratio", similarity(F.upper(name), F.upper(company)))
     return scored.filter(F.col("ratio") >= threshold)

@@ -45,6 +45,17 @@ SUGGESTIONS = {
     "nestled in the heart of": "in",
     "delves into": "examines",
 }
+#: Phrases for which the catalogue has advice and no replacement: fixed values.
+ADVICE = {
+    "rich tapestry of": "describe specifically what it contains",
+    "important to note": "just state the important thing",
+    "groundbreaking": "describe what it actually does",
+    "revolutionary": "compare to what came before",
+    "cutting-edge": "specify the technology",
+    "transformative": "show the transformation with evidence",
+}
+#: What must not count against a text, though it is often named: fixed values.
+FALSE_INDICATORS = ("perfect_grammar", "bland_prose", "unusual_words", "letter_like_writing", "conjunctions")
 
 
 def hits(text: Column, pattern: str) -> Column:
@@ -73,6 +84,17 @@ def suggest(text: Column) -> Column:
     return reduce(lambda t, pair: F.regexp_replace(t, f"(?i){pair[0]}", pair[1]), SUGGESTIONS.items(), text)
 
 
+def advice(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, phrase, advice, hits)`` of every phrase that a text should do without."""
+    found = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(a).alias("advice"), hits(F.col(text), f"(?i){p}").cast("long").alias("hits")) for p, a in {**{p: f"write: {r}" for p, r in SUGGESTIONS.items()}, **ADVICE}.items()])
+    return docs.select(doc_id, F.inline(F.filter(found, lambda f: f["hits"] > 0)))
+
+
+def indicators(findings: DataFrame, rule: str = "rule") -> DataFrame:
+    """Findings without those that are known to say nothing."""
+    return findings.filter(~F.col(rule).isin(*FALSE_INDICATORS) | F.col(rule).isNull())
+
+
 def title_case_headings(text: Column) -> Column:
     """Share of markdown headings in which every word begins with a capital."""
     heads = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike("^#{1,6} ")), lambda x: F.regexp_replace(x, "^#{1,6} ", ""))

@@ -74,12 +74,13 @@ def mean_sd_count(spark, d):
 
 @query("SELECT median(l_extendedprice) AS median_price, median(l_quantity) AS median_quantity FROM lineitem")
 def medians(spark, d):
-    return table(spark, d, "lineitem").agg(F.median("l_extendedprice").alias("median_price"), F.median("l_quantity").alias("median_quantity"))
+    return stats.median(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity").toDF("median_price", "median_quantity")
 
 
 @query("SELECT date_trunc('month', o_orderdate)::DATE AS jdate, median(o_totalprice) AS size_median FROM orders WHERE o_orderstatus = 'F' GROUP BY 1", dates=('jdate',))
 def breakpoint_medians(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy(F.trunc("o_orderdate", "month").alias("jdate")).agg(F.median("o_totalprice").alias("size_median"))
+    o = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.trunc("o_orderdate", "month").alias("jdate"), "o_totalprice")
+    return stats.quantiles(o, ["jdate"], "o_totalprice", 0.5).withColumnRenamed("p50", "size_median")
 
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.3), 6) AS p30, round(quantile_cont(o_totalprice, 0.7), 6) AS p70 FROM orders GROUP BY 1")
@@ -137,9 +138,11 @@ def conditional_counts(spark, d):
     return e.agg(F.count_if(F.try_parse_json("props").isNotNull()).alias("parsed"), F.count_if(F.col("value") > 50).alias("high"), F.count_if(~(F.col("value") > 50)).alias("low"))
 
 
-@query(None)
+@query("""SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), o_orderkey, o_custkey, coalesce(nullif(o_orderstatus, 'P'), '-'), CAST(o_orderdate AS DATE), CAST(round(o_totalprice * 100) AS BIGINT))), 1, 15) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM orders""")
 def content_fingerprint(spark, d):
-    return stats.content_hash(table(spark, d, "orders"))
+    o = table(spark, d, "orders")
+    rows = o.select("o_orderkey", "o_custkey", F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("-")).alias("status"), F.col("o_orderdate").cast("date").alias("day"), F.round(o.o_totalprice * 100).cast("bigint").alias("cents"))
+    return stats.content_hash(rows)
 
 
 @query("""WITH b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) SELECT CAST(least(floor((c_acctbal - lo) / ((hi - lo) / 30)) + 1, 30) AS INT) AS bin, count(*) AS n FROM customer, b GROUP BY 1""")
@@ -160,9 +163,10 @@ def join_audit(spark, d):
 
 
 @query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
- SELECT count(*) FILTER (value IS NULL) AS missing, count(value) - count(DISTINCT value) AS repeated, count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS outliers, count(DISTINCT value) AS distinct_values FROM events, q""")
+ SELECT count(*) FILTER (value IS NULL) AS missing, count(value) - count(DISTINCT value) AS repeated, count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS outliers, count(DISTINCT value) AS distinct_values,
+ round((avg(power(value - (SELECT avg(value) FROM events), 3))) / power(var_pop(value), 1.5), 4) AS skew FROM events, q""")
 def value_issues(spark, d):
-    return quality.issues(table(spark, d, "events"), "value").drop("skew")
+    return quality.issues(table(spark, d, "events"), "value").withColumn("skew", F.round("skew", 4))
 
 
 # Windows
@@ -222,16 +226,26 @@ def session_counts(spark, d):
     return e.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-@query(None)
+_FITTED = "term string, estimate double, std_error double"
+
+
+@query("""WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS q, avg(l_discount) AS c, avg(l_extendedprice) AS y, var_pop(l_quantity) AS qq, var_pop(l_discount) AS cc, covar_pop(l_quantity, l_discount) AS qc,
+  covar_pop(l_quantity, l_extendedprice) AS qy, covar_pop(l_discount, l_extendedprice) AS cy, var_pop(l_extendedprice) AS yy FROM lineitem),
+ b AS (SELECT *, qq * cc - qc * qc AS det, (cc * qy - qc * cy) / (qq * cc - qc * qc) AS bq, (qq * cy - qc * qy) / (qq * cc - qc * qc) AS bc FROM m),
+ s AS (SELECT *, n * (yy - bq * qy - bc * cy) / (n - 3) AS v FROM b)
+ SELECT '(intercept)' AS term, round(y - bq * q - bc * c, 3) AS estimate, round(sqrt(v / n * (1 + (q * q * cc + c * c * qq - 2 * q * c * qc) / det)), 3) AS std_error FROM s
+ UNION ALL SELECT 'l_quantity', round(bq, 3), round(sqrt(v * cc / (n * det)), 3) FROM s UNION ALL SELECT 'l_discount', round(bc, 3), round(sqrt(v * qq / (n * det)), 3) FROM s""")
 def least_squares(spark, d):
     fit = stats.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
-    return spark.createDataFrame([(r["term"], r["estimate"], r["std_error"]) for r in fit], "term string, estimate double, std_error double")
+    return spark.createDataFrame([(r["term"], round(r["estimate"], 3), round(r["std_error"], 3)) for r in fit], _FITTED)
 
 
-@query(None)
+@query("""WITH g AS (SELECT l_quantity - avg(l_quantity) OVER w AS x, l_extendedprice - avg(l_extendedprice) OVER w AS y, l_linenumber FROM lineitem WINDOW w AS (PARTITION BY l_linenumber)),
+ m AS (SELECT count(*) AS n, count(DISTINCT l_linenumber) AS k, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM g)
+ SELECT 'l_quantity' AS term, round(xy / xx, 3) AS estimate, round(sqrt((yy - xy * xy / xx) / (n - 1 - k) / xx), 3) AS std_error FROM m""")
 def fixed_effects_fit(spark, d):
     fit = stats.fixed_effects(table(spark, d, "lineitem"), "l_linenumber", "l_extendedprice", ["l_quantity"])
-    return spark.createDataFrame([(r["term"], r["estimate"], r["std_error"]) for r in fit], "term string, estimate double, std_error double")
+    return spark.createDataFrame([(r["term"], round(r["estimate"], 3), round(r["std_error"], 3)) for r in fit], _FITTED)
 
 
 @query(None)

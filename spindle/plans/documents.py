@@ -13,25 +13,35 @@ from ..operators import relational as rel
 from ..sources import files
 from .registry import query
 
-# Rules whose patterns Java and RE2 read alike; the SQL counts with the same patterns.
+# Rules whose patterns are cheap to count; the others are in text_rules_all.
 _COUNTED = ("search_token", "citation_placeholder", "refusal", "puffery", "promotional", "false_range", "bold")
-_PATTERNS = {r: p for r, _, p in rules.RULES if r in _COUNTED}
 
 
-@query(
-    "WITH h AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, '{s}' AS severity, CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS hits FROM documents" for r, s, p in rules.RULES if r in _COUNTED)
-    + ") SELECT * FROM h WHERE hits > 0"
-)
+def _counts(names=None) -> str:
+    """SQL that counts the same patterns."""
+    wanted = [(r, s, p) for r, s, p in rules.RULES if names is None or r in names]
+    parts = [f"SELECT doc_id, '{r}' AS rule, '{s}' AS severity, CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS hits FROM documents" for r, s, p in wanted]
+    return "WITH h AS (" + " UNION ALL ".join(parts) + ") SELECT * FROM h WHERE hits > 0"
+
+
+@query(_counts(_COUNTED))
 def text_rules(spark, d):
     return rules.score(table(spark, d, "documents"), rules=tuple(r for r in rules.RULES if r[0] in _COUNTED))
 
 
-@query(None)
+@query(_counts())
 def text_rules_all(spark, d):
     return rules.score(table(spark, d, "documents"))
 
 
+_ADVISED = {**{p: f"write: {r}" for p, r in rules.SUGGESTIONS.items()}, **rules.ADVICE}
+
+
+@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase, '{a}' AS advice, CAST(len(regexp_extract_all(text, '(?i){p}')) AS BIGINT) AS hits FROM documents" for p, a in _ADVISED.items()) + ") SELECT * FROM h WHERE hits > 0")
+def phrase_advice(spark, d):
+    return rules.advice(table(spark, d, "documents"))
+
+
 @query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for r, _, p in rules.RULES if r in rules.DECISIVE))
 def decisive_rules(spark, d):
     docs = table(spark, d, "documents")
@@ -44,7 +54,14 @@ def term_density(spark, d):
     return docs.select("doc_id", F.round(rules.density(docs.text, "the"), 9).alias("density"))
 
 
-@query(None)
+def _replaced() -> str:
+    out = "text"
+    for phrase, plain in rules.SUGGESTIONS.items():
+        out = f"regexp_replace({out}, '(?i){phrase}', '{plain}', 'g')"
+    return out
+
+
+@query(f"SELECT doc_id, {_replaced()} AS text FROM documents")
 def suggestions(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", rules.suggest(docs.text).alias("text"))
@@ -66,14 +83,8 @@ def regex_first_group(spark, d):
     return table(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), F.lit("")).alias("title"))
 
 
-@query("WITH t AS (SELECT doc_id, 'Item 1. Business ' || substr(text, 1, 40) || ' Item 1A. Risk' AS x FROM documents) SELECT doc_id, trim(regexp_extract(x, '(?is)Item\\s+1\\.?\\s+Business(.*?)Item\\s+1A', 1), ' ' || chr(9) || chr(10) || chr(13)) AS section FROM t")
-def section_extract(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Item 1. Business "), F.substring("text", 1, 40), F.lit(" Item 1A. Risk")).alias("x"))
-    return docs.select("doc_id", tx.section(F.col("x"), "Item 1").alias("section"))
-
-
 @query("WITH t AS (SELECT doc_id, 'Item 1. Business ' || text || ' Item 1A. Risk' AS x FROM documents) SELECT doc_id, trim(regexp_extract(x, '(?is)Item\\s+1\\.?\\s+Business(.*?)Item\\s+1A', 1), ' ' || chr(9) || chr(10) || chr(13)) AS section FROM t")
-def section_extract_whole(spark, d):
+def section_extract(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Item 1. Business "), F.col("text"), F.lit(" Item 1A. Risk")).alias("x"))
     return docs.select("doc_id", tx.section(F.col("x"), "Item 1").alias("section"))
 
@@ -96,13 +107,14 @@ def secret_mask(spark, d):
     return c.select("c_custkey", tx.mask_secret(c.c_name).alias("masked"))
 
 
-@query("""SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(o_custkey AS VARCHAR) AS bare, ltrim(lpad(CAST(o_custkey AS VARCHAR), 10, '0'), '0') AS stripped,
- 'https://host/Archives/edgar/data/' || o_custkey || '/' || replace('0000-' || o_orderkey, '-', '') AS folder FROM orders""")
+@query("""WITH u AS (SELECT *, 'https://host/Archives/edgar/data/' || o_custkey || '/' || replace('0000-' || o_orderkey, '-', '') AS folder FROM orders)
+ SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(o_custkey AS VARCHAR) AS bare, ltrim(lpad(CAST(o_custkey AS VARCHAR), 10, '0'), '0') AS stripped,
+ folder, folder || '/xslF345X03/primarydocument.xml' AS viewer, folder || '/0000-' || o_orderkey || '-index.htm' AS index, folder || '/0000-' || o_orderkey || '.txt' AS full_text, folder || '/a.htm' AS document FROM u""")
 def identifiers(spark, d):
     o = table(spark, d, "orders")
     cik = scalars.pad_cik(o.o_custkey.cast("string"))
-    folder = scalars.filing_urls(cik, F.concat(F.lit("0000-"), o.o_orderkey.cast("string")), "https://host")["folder"]
-    return o.select("o_orderkey", cik.alias("cik"), scalars.plain_cik(cik).alias("bare"), scalars.unpad(cik).alias("stripped"), folder.alias("folder"))
+    urls = scalars.filing_urls(cik, F.concat(F.lit("0000-"), o.o_orderkey.cast("string")), "https://host", F.lit("a.htm"))
+    return o.select("o_orderkey", cik.alias("cik"), scalars.plain_cik(cik).alias("bare"), scalars.unpad(cik).alias("stripped"), *[c.alias(n) for n, c in urls.items()])
 
 
 @query("SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS base, lower(regexp_extract(regexp_extract(url, '([^/]*)/*$', 1), '.(\\.[^.]*)$', 1)) AS suffix FROM pages")
@@ -111,11 +123,12 @@ def path_parts(spark, d):
     return p.select("page_id", scalars.basename(p.url).alias("base"), scalars.suffix(p.url).alias("suffix"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/octet-stream' ELSE 'text/markdown' END AS mime FROM documents")
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'application/pdf' WHEN 'de' THEN 'application/octet-stream' WHEN 'fr' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS batch,
+ CASE lang WHEN 'en' THEN 'application/pdf' WHEN 'de' THEN 'image/heic' WHEN 'fr' THEN 'image/jpeg' ELSE 'video/3gpp' END AS media, CASE lang WHEN 'fr' THEN 'image/jpeg' ELSE 'image/png' END AS icon FROM documents""")
 def mime_types(spark, d):
     docs = table(spark, d, "documents")
-    names = F.element_at(F.array(*map(F.lit, ("a.PDF", "b.png", "c.xyz", "d.md"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return docs.select("doc_id", scalars.mime_type(names).alias("mime"))
+    name = F.concat(F.lit("a.b"), F.when(docs.lang == "en", ".PDF").when(docs.lang == "de", ".heic").when(docs.lang == "fr", ".jpeg").otherwise(".3gp"))
+    return docs.select("doc_id", *[scalars.mime_type(name, use).alias(use) for use in ("batch", "media", "icon")])
 
 
 @query("SELECT doc_id, 'doc' || doc_id || '_' || substr(md5(text), 1, 8) || '_' || substr(md5('Summarise.'), 1, 6) AS request_id FROM documents")
@@ -160,12 +173,12 @@ def batch_costs(spark, d):
     return docs.select("doc_id", F.round(scalars.batch_cost(docs.n_chars / 4.0, F.lit(500)), 12).alias("cost"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id END AS found FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS found FROM events")
 def json_salvage(spark, d):
     e = table(spark, d, "events")
-    obj = F.concat(F.lit('{"id": '), e.event_id.cast("string"), F.lit("}"))
+    obj = e.props
     wrapped = F.when(e.event_id % 4 == 0, obj).when(e.event_id % 4 == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(e.event_id % 4 == 2, F.concat(F.lit("Here it is: "), obj, F.lit(". Done"))).otherwise("no json { here")
-    return e.select("event_id", F.variant_get(scalars.salvage_json(wrapped), "$.id", "bigint").alias("found"))
+    return e.select("event_id", F.variant_get(scalars.salvage_json(wrapped), "$.k", "bigint").alias("found"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first FROM events")
@@ -180,7 +193,7 @@ def json_field(spark, d):
 def category_codes(spark, d):
     o = table(spark, d, "orders")
     codes = o.select("o_orderpriority").distinct().withColumn("code", scalars.category_codes("o_orderpriority", Window.orderBy("o_orderpriority")))
-    return o.join(F.broadcast(codes), "o_orderpriority").select("o_orderkey", "code")
+    return o.join(codes, "o_orderpriority").select("o_orderkey", "code")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'error' WHEN doc_id % 7 = 0 THEN 'warning' END AS severity FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 = 0")
@@ -224,9 +237,9 @@ def tiered_text(spark, d):
     return batch.first_found("doc_id", docs.select("doc_id"), clean=known.filter("quality = 1"), archive=known, http=text).select("doc_id", "tier")
 
 
-@query("SELECT 'documents' AS step, count(*) AS rows FROM documents")
+@query("""SELECT 'labels' AS step, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), doc_id, quality, toxic)), 1, 15) AS HUGEINT)) AS VARCHAR) AS checksum FROM labels""")
 def step_log(spark, d):
-    return batch.step_log(table(spark, d, "documents"), "documents").select("step", "rows")
+    return batch.step_log(table(spark, d, "labels"), "labels")
 
 
 @query("SELECT doc_id, CAST(unnest(generate_series(0, greatest(n_chars // 1000 - 1, 0), 50)) AS BIGINT) AS first_page FROM documents")
@@ -235,11 +248,27 @@ def page_ranges(spark, d):
     return docs.select("doc_id", F.explode(quality.page_ranges(F.floor(docs.n_chars / 1000), 50)).alias("first_page"))
 
 
-@query("SELECT doc_id, (CAST(doc_id AS VARCHAR) || '') IS NOT NULL AND doc_id % 11 = 0 AS valid FROM documents")
+# Codes are made of each text's digest, so that about one in ten has a right check digit by chance.
+_DIGITS = "lpad(CAST(CAST('0x' || substr(md5(text), 1, 14) AS BIGINT) % 10000000000 AS VARCHAR), 10, '0')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, '978' || {_DIGITS} AS thirteen, {_DIGITS} AS ten FROM documents)
+ SELECT doc_id, list_sum(list_transform(generate_series(1, 13), lambda i: CAST(thirteen[i] AS INT) * CASE i % 2 WHEN 1 THEN 1 ELSE 3 END)) % 10 = 0 AS long_valid,
+ list_sum(list_transform(generate_series(1, 10), lambda i: CAST(ten[i] AS INT) * (11 - i))) % 11 = 0 AS short_valid FROM t""")
 def isbn_check(spark, d):
     docs = table(spark, d, "documents")
-    code = F.when(docs.doc_id % 11 == 0, F.lit("978-0-306-40615-7")).otherwise("978-0-306-40615-8")
-    return docs.select("doc_id", scalars.isbn_valid(code).alias("valid"))
+    number = F.conv(F.substring(F.md5("text"), 1, 14), 16, 10).cast("bigint") % 10_000_000_000
+    digits = F.lpad(number.cast("string"), 10, "0")
+    dashed = F.concat(F.lit("978-"), F.left(digits, F.lit(3)), F.lit("-"), F.substring(digits, 4, 7))
+    return docs.select("doc_id", scalars.isbn_valid(dashed).alias("long_valid"), scalars.isbn_valid(digits).alias("short_valid"))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '10\.[0-9]{4,9}/[A-Za-z0-9._;()/:-]+')) AS BIGINT) AS dois,
+ CAST(len(regexp_extract_all(text || ' doi:10.1109/PROC.' || doc_id || '.9547 ', '10\.[0-9]{4,9}/[A-Za-z0-9._;()/:-]+')) AS BIGINT) AS with_one FROM documents""")
+def doi_shapes(spark, d):
+    docs = table(spark, d, "documents")
+    one = F.concat(F.col("text"), F.lit(" doi:10.1109/PROC."), F.col("doc_id").cast("string"), F.lit(".9547 "))
+    return docs.select("doc_id", F.size(scalars.dois(docs.text)).cast("long").alias("dois"), F.size(scalars.dois(one)).cast("long").alias("with_one"))
 
 
 @query("SELECT r.r_name AS name, n.n_name AS skill FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")

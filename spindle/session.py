@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
 
 #: Settings that results depend on, and the adaptive execution that plans rely on.
@@ -24,6 +26,17 @@ def session(app: str = "spindle", master: str | None = None, **settings: str) ->
     return builder.getOrCreate()
 
 
+def pool_size(env: Mapping[str, str], prefix: str = "SPINDLE_POOL", least: int = 1, most: int = 5) -> tuple[int, int]:
+    """Fewest and most connections to a database, from ``<prefix>_MIN`` and ``<prefix>_MAX``: JDBC reads take one for each partition.
+
+    Values that are no positive numbers are a ValueError, as is a range that is empty.
+    """
+    low, high = (int(env.get(f"{prefix}_{name}", default)) for name, default in (("MIN", least), ("MAX", most)))
+    if not 1 <= low <= high:
+        raise ValueError(f"{prefix}: {low} to {high} connections")
+    return low, high
+
+
 def healthy(spark: SparkSession) -> bool:
     """Whether the session still answers."""
     try:

@@ -32,6 +32,17 @@ def with_backoff(call: Callable, attempts: int = 5, first: float = 30.0, sleep:
             sleep(first * 2**attempt)
 
 
+def with_reconnects(call: Callable, errors: tuple = (ConnectionError, TimeoutError), attempts: int = 3, delay: float = 1.0, sleep: Callable[[float], None] = time.sleep):
+    """Calls again after a connection error, waiting longer by ``delay`` each time; errors of the query pass at once."""
+    for attempt in range(attempts):
+        try:
+            return call()
+        except errors:
+            if attempt == attempts - 1:
+                raise
+            sleep(delay * (attempt + 1))
+
+
 class Limiter:
     """At most ``rate`` calls a second, in one partition; total rate is that times the partitions."""
 

@@ -246,7 +246,7 @@ def test_event_windows_of_all_days(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
     days = {t.date() for _, t in events if t}
     want = sorted((str(d), n) for d in days for n, t in events if t and d <= t.date() <= d + timedelta(days=3))
-    got = sorted((str(r.day), r.event_id) for r in plans.event_windows_all(spark, str(tmp_path)).collect())
+    got = sorted((str(r.day), r.event_id) for r in plans.event_windows(spark, str(tmp_path)).collect())
     assert got == want and {d for d, _ in got} == set(map(str, days))
 
 
@@ -255,5 +255,5 @@ def test_sections_hold_whole_texts(spark, tmp_path):
 
     docs = [(1, "word " * 500 + "end"), (2, "short"), (3, None), (4, "a\nb " * 30 + "last")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.section for r in plans.section_extract_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.section for r in plans.section_extract(spark, str(tmp_path)).collect()}
     assert got == dict(docs)
