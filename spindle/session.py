@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +43,8 @@ def healthy(spark: SparkSession) -> bool:
         return spark.sql("select 1 as one").first().one == 1
     except Exception:
         return False
+
+
+def ensured(spark: SparkSession | None, make: Callable[[], SparkSession] = session) -> SparkSession:
+    """The session if it still answers, else a new one."""
+    return spark if spark is not None and healthy(spark) else make()

@@ -19,17 +19,47 @@ from pyspark.sql.types import StructType
 FORMATS = {"parquet": "spark", "csv": "spark", "json": "spark", "orc": "spark", "feather": "spindle_feather", "dta": "spindle_dta", "sas7bdat": "spindle_sas"}
 
 
-def _frame(fmt: str, path: str):
+#: Rows that a reader holds at once.
+CHUNK = 10_000
+
+
+def _batches(fmt: str, path: str):
+    """Record batches of a file, some rows at a time."""
     import pandas as pd
+    import pyarrow as pa
 
     if fmt == "feather":
-        import pyarrow.feather
+        with pa.memory_map(path) as source:
+            reader = pa.ipc.open_file(source)
+            for i in range(reader.num_record_batches):
+                yield reader.get_batch(i)
+        return
+    if fmt == "dta":
+        chunks = pd.read_stata(path, convert_categoricals=False, chunksize=CHUNK)
+    else:
+        chunks = pd.read_sas(path, format="sas7bdat", encoding="utf-8", chunksize=CHUNK)
+    with chunks:
+        for chunk in chunks:
+            yield from pa.Table.from_pandas(chunk, preserve_index=False).to_batches()
+
 
-        return pyarrow.feather.read_table(path)
+def _schema(fmt: str, path: str):
+    """The schema by a file's metadata, or its first rows."""
     import pyarrow as pa
 
-    read = pd.read_stata(path, convert_categoricals=False) if fmt == "dta" else pd.read_sas(path, format="sas7bdat", encoding="utf-8")
-    return pa.Table.from_pandas(read, preserve_index=False)
+    if fmt == "feather":
+        with pa.memory_map(path) as source:
+            return pa.ipc.open_file(source).schema
+    return next(_batches(fmt, path)).schema
+
+
+def value_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``(label_set, code, label)`` of the value labels that a Stata file defines; data keep the codes."""
+    from pandas.io.stata import StataReader
+
+    with StataReader(path) as reader:
+        rows = [(name, int(code), str(label)) for name, labels in reader.value_labels().items() for code, label in labels.items()]
+    return spark.createDataFrame(rows, "label_set string, code long, label string")
 
 
 class _File(InputPartition):
@@ -45,9 +75,13 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
-        table = _frame(self.fmt, partition.path).select([f.name for f in self.schema.fields])
-        for batch in table.to_batches(max_chunksize=10_000):
-            yield from (tuple(r.values()) for r in batch.to_pylist())
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
+        for batch in _batches(self.fmt, partition.path):
+            table = pa.Table.from_batches([batch]).select(schema.names).cast(schema)
+            yield from table.to_batches()
 
 
 class _Writer(DataSourceWriter):
@@ -86,7 +120,7 @@ class _Source(DataSource):
         import pyarrow as pa
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        schema = _frame(self.fmt, self._paths()[0]).schema
+        schema = _schema(self.fmt, self._paths()[0])
         for i, field in enumerate(schema):
             if pa.types.is_timestamp(field.type):
                 schema = schema.set(i, pa.field(field.name, pa.timestamp("us", field.type.tz)))
@@ -145,6 +179,11 @@ def listing(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
     return files.filter(wanted)
 
 
+def fetch_lines(spark: SparkSession, path: str, target: str, pattern: str = "*.jsonl") -> None:
+    """Copies the lines of all files below ``path`` whose names fit, into a folder that must not exist."""
+    spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).write.text(target)
+
+
 def synthetic(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """Seeded rows of a linear model: y = 2.5 + 0.8 x1 + 1.2 x2 + 0.5 treatment + noise."""
     rows = spark.range(n).select("id", F.randn(seed).alias("x1"), F.randn(seed + 1).alias("x2"), (F.rand(seed + 2) < 0.5).cast("long").alias("treatment"), (F.randn(seed + 3) * 0.5).alias("e"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +62,21 @@ def wait(query, seconds: int) -> str:
         return "failed"
 
 
+#: States in which a job is over: fixed values of the interface.
+TERMINAL = ("JOB_STATE_SUCCEEDED", "JOB_STATE_FAILED", "JOB_STATE_CANCELLED")
+
+
+def poll(state: Callable[[], str], timeout: float, first: float = 30.0, factor: float = 1.5, most: float = 300.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> str:
+    """Asks for a job's state until it is terminal, waiting longer each time; TimeoutError after ``timeout`` seconds."""
+    began, rest = clock(), first
+    while (now := state()) not in TERMINAL:
+        if clock() - began + rest > timeout:
+            raise TimeoutError(now)
+        sleep(rest)
+        rest = min(most, rest * factor)
+    return now
+
+
 def new_only(df: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     """The first row of each key within the time that late rows may take."""
     return event_time(df, ts, late).dropDuplicatesWithinWatermark([key])

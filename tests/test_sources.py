@@ -23,6 +23,66 @@ def test_stata_schema_is_found(spark, tmp_path):
         files.read(spark, "x", "csv")
 
 
+def test_files_are_read_in_chunks_with_their_labels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "CHUNK", 2)
+    data = pd.DataFrame({"k": [1, 2, 1, 2, 1], "x": [0.5, None, 1.5, 2.5, 3.5], "d": pd.date_range("2020-01-01", periods=5)})
+    data.to_stata(tmp_path / "t.dta", write_index=False, value_labels={"k": {1: "low", 2: "high"}}, version=118)
+    got = files.read(spark, str(tmp_path / "t.dta"), "dta").orderBy("d").collect()
+    assert [r.k for r in got] == [1, 2, 1, 2, 1] and [r.x for r in got] == [0.5, None, 1.5, 2.5, 3.5] and got[4].d.day == 5
+    assert {(r.label_set, r.code, r.label) for r in files.value_labels(spark, str(tmp_path / "t.dta")).collect()} == {("k", 1, "low"), ("k", 2, "high")}
+    import pyarrow as pa
+    import pyarrow.feather
+
+    pyarrow.feather.write_feather(pa.table({"a": list(range(10)), "t": [["x"]] * 10}), str(tmp_path / "t.feather"), chunksize=3)
+    assert sorted(r.a for r in files.read(spark, str(tmp_path / "t.feather"), "feather").collect()) == list(range(10))
+
+
+def test_lines_of_many_files(spark, tmp_path):
+    (tmp_path / "in" / "job1").mkdir(parents=True)
+    (tmp_path / "in" / "a.jsonl").write_text('{"a":1}\n{"a":2}\n')
+    (tmp_path / "in" / "job1" / "b.jsonl").write_text('{"a":3}\n')
+    (tmp_path / "in" / "c.txt").write_text("no\n")
+    files.fetch_lines(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"a":1}', '{"a":2}', '{"a":3}']
+
+
+def test_jobs_are_polled_with_growing_waits():
+    now, waits = [0.0], []
+
+    def sleep(seconds):
+        waits.append(seconds)
+        now[0] += seconds
+
+    states = iter(["JOB_STATE_PENDING"] * 8 + ["JOB_STATE_SUCCEEDED"])
+    assert streams.poll(lambda: next(states), 10_000, clock=lambda: now[0], sleep=sleep) == "JOB_STATE_SUCCEEDED"
+    assert waits[:3] == [30.0, 45.0, 67.5] and waits[-1] == 300.0
+    with pytest.raises(TimeoutError):
+        streams.poll(lambda: "JOB_STATE_RUNNING", 100, clock=lambda: now[0], sleep=sleep)
+
+
+def test_a_database_over_jdbc(spark, tmp_path):
+    """Derby, which Spark brings along: a query, a partitioned read and a temporary view."""
+    from spindle import catalog, session
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(30).selectExpr("id AS ID", "CAST(id % 3 AS INT) AS G").write.jdbc(url, "T", properties={"driver": driver})
+    few = catalog.jdbc(spark, url, "SELECT ID, G FROM T WHERE G = 1", fetchsize=5, driver=driver)
+    assert few.count() == 10
+    parts = catalog.jdbc(spark, url, "SELECT ID, G FROM T", partition=("ID", 0, 30, 3), driver=driver)
+    assert parts.rdd.getNumPartitions() == 3 and parts.count() == 30
+    assert catalog.first_row(parts.filter("ID = 7")).G == 1 and catalog.first_row(parts.filter("ID = 99")) is None
+    assert session.ensured(spark) is spark and session.ensured(None, lambda: spark) is spark
+
+
+def test_views_of_tables(spark, tmp_path):
+    from spindle import catalog
+
+    spark.range(3).write.parquet(f"{tmp_path}/region.parquet")
+    catalog.register(spark, str(tmp_path), "region")
+    assert spark.sql("SELECT count(*) AS n FROM region").first().n == 3 and catalog.accessible(spark, "region")
+
+
 def test_listing(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for n in ("a.PDF", "sub/b.pdf", "c.txt"):
