@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,13 +146,16 @@ def score_band(score: Column) -> Column:
     return F.when(score < 25, "poor").when(score < 50, "satisfactory").when(score < 75, "good").when(score.isNotNull(), "excellent")
 
 
+#: Planning of batches: fixed values. Most requests of a batch by mean size (above so many MB), and the share that critical work takes.
+BATCH_MOST, BATCH_BY_SIZE, BATCH_SHARES, BATCH_SHARE = 10_000, ((10, 500), (5, 1_000)), {"low": 1.0, "high": 0.2}, 0.5
+
+
 def optimal_batch(files: Column, mean_mb: Column, criticality: Column) -> Column:
-    """Requests for each batch: 10,000 at most, fewer for large files and critical work."""
-    cap = F.when(mean_mb > 10, 500).when(mean_mb > 5, 1000).otherwise(10000)
-    factor = F.when(criticality == "low", 1.0).when(criticality == "high", 0.2).otherwise(0.5)
-    most = F.floor(cap * factor)
-    batches = F.greatest(F.lit(1), F.floor(files / most))
-    return F.least(F.floor(files / batches), most)
+    """Requests for each batch: files dealt evenly to full batches, none above the most that size and criticality allow."""
+    cap = reduce(lambda rest, edge: F.when(mean_mb > edge[0], edge[1]).otherwise(rest), reversed(BATCH_BY_SIZE), F.lit(BATCH_MOST))
+    share = reduce(lambda rest, kind: F.when(criticality == kind, BATCH_SHARES[kind]).otherwise(rest), BATCH_SHARES, F.lit(BATCH_SHARE))
+    most = F.floor(cap * share)
+    return F.least(F.floor(files / F.greatest(F.lit(1), F.floor(files / most))), most)
 
 
 #: Dollars for a million tokens in and out: fixed values of the pricing note.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from .relational import dedupe_keep
 
+#: The wire format of answers, and that of requests in :func:`requests`: fixed values of the interface.
 RESULT = "metadata struct<request_id:string>, response struct<candidates:array<struct<content:struct<parts:array<struct<text:string>>>,finishReason:string>>>, error string"
 
 

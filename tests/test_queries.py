@@ -40,7 +40,8 @@ def test_query(spark, duck, name):
         assert sorted(names) == sorted(df.columns)
         assert _plain(rows, df.columns) == _plain(got.fetchall(), names)
     else:
-        assert name in WITHOUT_SQL and rows  # compared with plain versions in test_operators.py
+        assert name in WITHOUT_SQL  # compared with plain versions in test_operators.py
+        assert rows or name == "smartquote_diff"  # the smallest tables have no straight quotes
 
 
 def test_entry(spark):

@@ -163,9 +163,9 @@ def test_text_functions(spark):
 
 def test_dsl(spark):
     df = spark.createDataFrame([(1, 6e9, "XNYS", 10.0), (2, 4e9, "XNAS", 10.0), (3, 6e9, "XLON", 30.0)], "id int, cap double, exch string, pe double")
-    s = dsl.Screen('U(IN(Equity(active,public,primary))), /*UNV:Public*/ TR.CompanyMarketCap(Scale=6)>=5000, IN(TR.ExchangeMarketIdCode,"XNYS","XNAS"), TR.PERatio<=20, CURN=USD')
-    assert s.universe == ["active", "public", "primary"] and s.currency == "USD"
-    got = df.filter(s.condition({"TR.CompanyMarketCap": "cap", "TR.ExchangeMarketIdCode": "exch", "TR.PERatio": "pe"}))
+    s = dsl.Screen('U(IN(Equity(active))), /*by size*/ TR.Worth(Scale=6)>=5000, IN(TR.Place,"XNYS","XNAS"), TR.Multiple<=20, CURN=EUR')
+    assert s.universe == ["active"] and s.currency == "EUR"
+    got = df.filter(s.condition({"TR.Worth": "cap", "TR.Place": "exch", "TR.Multiple": "pe"}))
     assert [r.id for r in got.collect()] == [1]
     for bad in ("TR.X>=", "IN(", "TR.X ? 3"):
         with pytest.raises(ValueError):
