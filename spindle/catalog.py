@@ -68,3 +68,8 @@ def jdbc(spark: SparkSession, url: str, query: str, *, fetchsize: int = 10_000,
     column, low, high, n = partition
     reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", n)
     return reader.option("dbtable", f"({query}) q").load()
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The size of a result that the optimiser estimates from the statistics it has; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

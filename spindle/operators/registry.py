@@ -130,3 +130,21 @@ def has_cycle(edge_rows: list[tuple]) -> bool:
     except CycleError:
         return True
     return False
+
+
+def behind(status: Column) -> Column:
+    """Whether the branch line of a porcelain status text says that the branch is behind; no text is no."""
+    lines = F.split(F.coalesce(status, F.lit("")), "\n")
+    return F.exists(lines, lambda x: x.startswith("## ") & x.contains("[behind "))
+
+
+def settings(rows: DataFrame, names: list[str], name: str = "name", value: str = "value") -> DataFrame:
+    """Of the named settings those that have a value, masked; ``(name, shown)``."""
+    some = rows.filter(F.col(name).isin(*names) & (F.coalesce(F.col(value), F.lit("")) != ""))
+    return some.select(F.col(name).alias("name"), tx.mask_secret(F.col(value)).alias("shown"))
+
+
+def tallied(outcomes: DataFrame, ok: Column) -> DataFrame:
+    """One row: how many items went well, how many failed, and all."""
+    good = F.count_if(F.coalesce(ok, F.lit(False)))
+    return outcomes.agg(good.alias("succeeded"), (F.count("*") - good).alias("failed"), F.count("*").alias("total"))

@@ -248,3 +248,30 @@ def identifier_map(spark, d):
 @query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)^(cold|small) .*t$')")
 def regex_search(spark, d):
     return table(spark, d, "part").filter(F.col("p_name").rlike("(?i)^(cold|small) .*t$")).select("p_partkey")
+
+
+@query("SELECT n_nationkey, n_nationkey % 3 = 1 AS behind FROM nation")
+def behind_remote(spark, d):
+    n = table(spark, d, "nation")
+    mark = F.when(F.col("n_nationkey") % 3 == 1, " [behind 2]").when(F.col("n_nationkey") % 3 == 2, " [ahead 1]").otherwise("")
+    status = F.concat(F.lit("## main...origin/main"), mark, F.lit("\n M behind.txt\n?? [behind x"))
+    return n.select("n_nationkey", registry.behind(status).alias("behind"))
+
+
+@query("SELECT c_name AS name, CASE WHEN length(c_mktsegment) > 12 THEN substr(c_mktsegment, 1, 4) || '...' || substr(c_mktsegment, -4) ELSE '***' END AS shown FROM customer WHERE c_custkey IN (1, 2, 3) AND c_mktsegment <> 'BUILDING'")
+def settings_present(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("value"))
+    return registry.settings(c, [f"Customer#{n:09}" for n in (1, 2, 3)])
+
+
+@query("SELECT count(*) FILTER (quality = 1) AS succeeded, count(*) FILTER (quality IS DISTINCT FROM 1) AS failed, count(*) AS total FROM labels")
+def sync_tally(spark, d):
+    return registry.tallied(table(spark, d, "labels"), F.col("quality") == 1)
+
+
+@query("SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def passed_function(spark, d):
+    """A function that one step defines and another applies."""
+    finished = lambda df: df.filter("o_orderstatus = 'F'")
+    totals = lambda df, by: df.groupBy(by).agg(exact_sum("o_totalprice").alias("total"))
+    return table(spark, d, "orders").transform(finished).transform(totals, "o_custkey")

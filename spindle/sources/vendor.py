@@ -21,6 +21,11 @@ class RateLimited(Exception):
     """The vendor asks to wait."""
 
 
+def delays(attempts: int, first: float = 1.0, factor: float = 2.0, most: float = float("inf")) -> list[float]:
+    """The waits between so many attempts, each ``factor`` times the one before, ``most`` at most."""
+    return [min(most, first * factor**n) for n in range(attempts - 1)]
+
+
 def with_backoff(call: Callable, attempts: int = 5, first: float = 30.0, sleep: Callable[[float], None] = time.sleep):
     """Calls again after a rate limit, waiting twice as long each time; other errors pass."""
     for attempt in range(attempts):

@@ -203,6 +203,16 @@ def test_connections_are_tried_again():
         sessions.pool_size({"SPINDLE_POOL_MIN": "9"})
 
 
+def test_waits_and_sizes(spark):
+    from spindle import catalog
+
+    assert vendor.delays(4) == [1.0, 2.0, 4.0] and vendor.delays(5, 30, 2, 100) == [30, 60, 100, 100] and vendor.delays(1) == []
+    assert 0 < catalog.plan_bytes(spark.range(10)) < catalog.plan_bytes(spark.range(1000))
+    rows = spark.createDataFrame([("A", "x" * 13), ("B", ""), ("C", None), ("D", "short")], "name string, value string")
+    assert {(r.name, r.shown) for r in registry.settings(rows, ["A", "B", "C", "D"]).collect()} == {("A", "xxxx...xxxx"), ("D", "***")}
+    assert spark.range(1).select(registry.behind(F.lit(None).cast("string")).alias("b")).first().b is False
+
+
 def test_failed_rows_run_again(spark):
     seen = SimpleNamespace(turn=0)
 
