@@ -46,7 +46,7 @@ class _WordHashes(dict):
     """Hashes of words; forgets them all when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -67,7 +67,7 @@ class _Codes(dict):
             code = 3
         else:
             code = 2 * (word in self.learned or any(word[:n] in self.learned for n in STEM_LENGTHS if len(word) >= n))
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = code
         return code
@@ -139,7 +139,7 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns)):
             words = set(_WORDS.findall(text.lower()))
             counts.update((s, half, toxic) for s in words | {w[:n] for w in words for n in STEM_LENGTHS if len(w) > n})
-            if len(counts) > 500_000:
+            if len(counts) > 200_000:
                 yield flush()
                 counts.clear()
     if counts:
