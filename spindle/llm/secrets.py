@@ -12,14 +12,14 @@ addresses, hashes of files, dates, paths); no document is read for that.
 
 from __future__ import annotations
 
-import math
 import random
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import product
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -65,37 +65,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _bucket(value: float, *edges: float) -> int:
-    return sum(value >= e for e in edges)
-
-
-@lru_cache(1 << 16)
-def _entropy(counts: tuple[int, ...]) -> float:
-    n = sum(counts)
-    return -sum(v / n * math.log2(v / n) for v in counts)
+_SIZES, _VARIETY, _LEVELS, _SHARES, _TURNS, _HEX_SIZES = (12, 16, 17, 20, 24, 32, 33, 40, 41, 64), (3, 5, 8, 11, 15, 20), (8, 11, 15), (0.1, 0.25, 0.5, 0.75, 0.999), (0.1, 0.2, 0.35, 0.5, 0.65), (32, 40, 64)
 
 
 def _shape(token: str) -> tuple:
     """What the features of a token alone are made of; few values for plain words."""
     n, found = len(token), set(token)
-    entropy = _entropy(tuple(sorted(map(token.count, found))))
-    size, level, bits = _bucket(n, 12, 16, 17, 20, 24, 32, 33, 40, 41, 64), _bucket(entropy, 3, 3.5, 4), _bucket(entropy, 2, 2.5, 3, 3.5, 4, 4.5)
-    if token.isalpha() and token.islower():
-        return size, "TrueFalseFalseFalseFalseFalseFalse", "FalseFalse", "FalseTrue", 0, 0, bits, f"{found <= _HEX}{_bucket(n, 32, 40, 64)}", False, False, False, "", False, level
-    lower, upper, digits = sum(c.islower() for c in token), sum(c.isupper() for c in token), sum(c.isdigit() for c in token)
-    kinds = [("d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else c) for c in token]
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    size, level, variety = bisect_right(_SIZES, n), bisect_right(_LEVELS, len(found)), bisect_right(_VARIETY, len(found))
+    if token.isalpha():  # most tokens
+        if token.islower():
+            return size, "l", "", "", 0, 0, variety, f"{found <= _HEX}{bisect_right(_HEX_SIZES, n)}", False, False, False, "", False, level
+        if token[0].isupper() and token[1:].islower() and not token.startswith(_PREFIXES):
+            return size, "lu", "", "title", 0, bisect_right(_TURNS, 1 / n), variety, "False0", False, False, False, "", True, level
+    lower, upper, digits = sum(map(str.islower, token)), sum(map(str.isupper, token)), sum(map(str.isdigit, token))
+    kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else c for c in token]
+    turns = sum(map(ne, kinds, kinds[1:]))
     return (
         size,
-        f"{bool(lower)}{bool(upper)}{bool(digits)}{'_' in token}{'-' in token}{'/' in token or '+' in token}{'=' in token}",
-        f"{bool(_SYMBOLS & found)}{'@' in token}",
-        f"{token[:1].isupper() and upper == 1}{token.isalpha()}",
-        _bucket(digits / n, 0.1, 0.25, 0.5, 0.75, 0.999),
-        _bucket(turns / n, 0.1, 0.2, 0.35, 0.5, 0.65),
-        bits,
-        f"{set(token.lower()) <= _HEX}{_bucket(n, 32, 40, 64)}",
-        bool(re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", token)),
-        bool(re.match("[12][0-9]{3}-[01][0-9]", token)),
+        "l" * bool(lower) + "u" * bool(upper) + "d" * bool(digits) + "".join(c for c in "_-=" if c in found) + "/" * bool(found & {"/", "+"}),
+        "s" * bool(_SYMBOLS & found) + "@" * ("@" in found),
+        ("title" if upper == 1 and token[0].isupper() else "") + ("" if lower + upper == n else "mixed" if lower + upper + digits else "marks"),
+        bisect_right(_SHARES, digits / n),
+        bisect_right(_TURNS, turns / n),
+        variety,
+        f"{set(token.lower()) <= _HEX}{bisect_right(_HEX_SIZES, n)}",
+        bool(n == 36 and re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", token)),
+        bool(digits and re.match("[12][0-9]{3}-[01][0-9]", token)),
         token.count("/") >= 2 or token.startswith("/"),
         next((p for p in _PREFIXES if token.startswith(p)), ""),
         bool(upper and lower),
@@ -104,7 +99,7 @@ def _shape(token: str) -> tuple:
 
 
 def _shape_features(shape: tuple) -> list[int]:
-    names = ("n", "mix", "symbols", "title", "digits", "turns", "entropy", "hex", "uuid", "date", "path", "start")
+    names = ("n", "mix", "symbols", "title", "digits", "turns", "variety", "hex", "uuid", "date", "path", "start")
     return [_hash("bias"), *(_hash(f"{a}{b}") for a, b in zip(names, shape))]
 
 
@@ -156,7 +151,7 @@ def _context_groups(marks: tuple, cue: tuple, pem: str, mixed: bool, level: int,
 
 
 def file_features(text: str) -> tuple[bool, int]:
-    return "-----BEGIN" in text, _bucket(text.count("="), 1, 4, 16)
+    return "-----BEGIN" in text, bisect_right((1, 4, 16), text.count("="))
 
 
 def _blocks(text: str) -> list[tuple[int, int, str]]:
@@ -334,6 +329,8 @@ def examples(n: int, seed: int = 1, kinds: Callable[[str], bool] = lambda kind:
         lambda: (name() + r.choice((": ", " = ", " is ")), r.choice(("null", "true", "none", "required", "missing", "") or word())),
         lambda: (r.choice(("", "\"")), word() + r.choice(("!", "'s", "?", "%", "*", "#1", "&")) + r.choice(("", word()))),
         lambda: ("", some(digits, 1, 6) + r.choice(("", "%", "$", "th", "kg"))),
+        lambda: ("", word()[:3].title()),
+        lambda: ("", r.choice(("", word())) + r.choice("!&#%*$@^~+") * r.randint(1, 4)),
         lambda: (r.choice(("key ", "tokens ", "order ")), word().title()),
         lambda: ("", word() + r.choice(("", ".")) + word() + "@" + word() + ".org"),
         lambda: (r.choice(("-----BEGIN CERTIFICATE-----", "-----END RSA PRIVATE KEY-----")), ""),
@@ -391,6 +388,7 @@ class Scores:
     def __init__(self, model: Field):
         self.weights, self.moves, self.gaps = model.weights.tolist(), model.moves.tolist(), model.gaps.tolist()
         self.tokens: dict = {}
+        self.shapes: dict = {}
         self.contexts: dict = {}
         move, g = model.moves, model.gaps
         self.slack = float(np.abs(g[:, 0] - g[:, 1]).max()) + max(
@@ -415,11 +413,16 @@ class Scores:
     def token(self, token: str) -> tuple[int, float, bool, int]:
         """When a token can be in a secret outside of PEM blocks, its own score, and what contexts need of its shape."""
         shape = _shape(token)
-        alone, (mixed, level) = sum(self.weights[f] for f in _shape_features(shape)), shape[-2:]
-        sure = [alone + self.most[cue, mixed, level] < -self.slack - 1e-9 for cue in (True, False)]
-        got = (self.NEVER if all(sure) else self.NEAR_CUE if sure[1] else self.PERHAPS), alone, mixed, level
+        got = self.shapes.get(shape)
+        if got is None:
+            alone, (mixed, level) = sum(self.weights[f] for f in _shape_features(shape)), shape[-2:]
+            sure = [alone + self.most[cue, mixed, level] < -self.slack - 1e-9 for cue in (True, False)]
+            got = (self.NEVER if all(sure) else self.NEAR_CUE if sure[1] else self.PERHAPS), alone, mixed, level
+            if len(self.shapes) > 100_000:
+                self.shapes.clear()
+            self.shapes[shape] = got
         if len(token) <= 64:
-            if len(self.tokens) > 400_000:
+            if len(self.tokens) > 200_000:
                 self.tokens.clear()
             self.tokens[token] = got
         return got
