@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_dirs: dict[str, str] = {}
 _local = threading.local()
 
+#: How to forget what a Python worker keeps from task to task, by the operator that keeps it.
+caches: dict[str, Callable[[], None]] = {}
+
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where they share a file system with the driver.
@@ -32,6 +37,38 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def _forget(keeps: str) -> None:
+    """Empty the caches of all operators but ``keeps``."""
+    for name, forget in caches.items():
+        if name != keeps:
+            forget()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, with little left in the worker when the task ends.
+
+    An executor's workers wait for tasks beside its JVM and take them in turn, so what each operator
+    leaves would add up in all of them. Caches of others than ``keeps`` are forgotten first.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        _forget(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -53,6 +53,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+common.caches["minhash"] = _hashes.clear
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -185,7 +186,7 @@ def _confirm(pairs: DataFrame, heads: DataFrame, texts: DataFrame, k: int, perce
     members = pairs.join(copies.withColumnRenamed("a", "of"), F.col("a") == F.col("of")).select(F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), F.col("b").alias("node"))
     rows = _fetch(own.unionByName(members), heads, texts)
     rows = rows.repartition("leader", "copy").sortWithinPartitions("leader", "copy", F.col("node") != F.col("leader"))
-    return common.materialize(rows.mapInArrow(_similar(k, percent), "a long, b long"), "links")
+    return common.materialize(rows.mapInArrow(common.frugal(_similar(k, percent), "minhash"), "a long, b long"), "links")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def _linkable(ids: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percen
     A shingle that only one of them has is in no intersection; a document needs enough others.
     """
     ids = common.materialize(ids, "mixed-ids")
-    found = _fetch(ids, heads, texts).mapInArrow(_spread(k), "node long, h long")
+    found = _fetch(ids, heads, texts).mapInArrow(common.frugal(_spread(k), "minhash"), "node long, h long")
     alone = found.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("only")).filter("m = 1").groupBy("only").agg(F.count("*").alias("alone"))
     of = heads.join(ids, "node", "left_semi").join(alone, F.col("node") == F.col("only"), "left")
     return of.filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("node")
@@ -272,7 +273,7 @@ def _compare_rest(rows: DataFrame, heads: DataFrame, texts: DataFrame, k: int, p
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     tasks = _fetch(members.select("cluster", F.inline(pairs), "own", "node", "comp"), heads, texts)
     tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    return common.materialize(tasks.mapInArrow(_compare(k, percent), "a long, b long"), "links")
+    return common.materialize(tasks.mapInArrow(common.frugal(_compare(k, percent), "minhash"), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, distance: int = DISTANCE) -> DataFrame:
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, dis
 
 def _near_duplicates(docs: DataFrame, shingle: int, percent: int, distance: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    signed = common.materialize(texts.mapInArrow(_sign(shingle), _SIGNED), "signatures")
+    signed = common.materialize(texts.mapInArrow(common.frugal(_sign(shingle), "minhash"), _SIGNED), "signatures")
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2")
     classes = classes.agg(F.min("doc_id").alias("head"), F.min_by("text_hash", "doc_id").alias("head_hash"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in _SIGNATURE])
     classes = common.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")

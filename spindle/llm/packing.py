@@ -168,11 +168,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, *, capacity
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    pieces = common.materialize(rows.mapInArrow(_pack(tokenizer, end_id, capacity, max_piece, block_windows), SCHEMA), "pieces")
+    pieces = common.materialize(rows.mapInArrow(common.frugal(_pack(tokenizer, end_id, capacity, max_piece, block_windows), "tokens"), SCHEMA), "pieces")
     rest = pieces.filter("sequence_id is null")
     total = rest.agg(F.sum("length").alias("n")).first().n or 0
     rest = rest.coalesce(max(1, total // (REST_BLOCKS * block_windows * capacity)))
-    return pieces.filter("sequence_id is not null").unionByName(rest.mapInArrow(_place(capacity, block_windows), SCHEMA))
+    return pieces.filter("sequence_id is not null").unionByName(rest.mapInArrow(common.frugal(_place(capacity, block_windows)), SCHEMA))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest_pieces(pieces: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
-    return pieces.mapInArrow(_crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.mapInArrow(common.frugal(_crc), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -549,7 +549,7 @@ def find_secrets(docs: DataFrame, column: str = "spans") -> DataFrame:
     common.ship(docs.sparkSession)
     docs = docs.drop(column)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T._parse_datatype_string(SPANS))])
-    return docs.mapInArrow(_found(field(), docs.columns.index("text"), False, schema.names, _SPAN_ARROW), schema)
+    return docs.mapInArrow(common.frugal(_found(field(), docs.columns.index("text"), False, schema.names, _SPAN_ARROW)), schema)
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
@@ -558,7 +558,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     Spans that overlap are one; a null text stays null. Otherwise as :func:`find_secrets`.
     """
     common.ship(docs.sparkSession)
-    return docs.mapInArrow(_found(field(), docs.columns.index("text"), True, docs.columns, _SPAN_ARROW), docs.schema)
+    return docs.mapInArrow(common.frugal(_found(field(), docs.columns.index("text"), True, docs.columns, _SPAN_ARROW)), docs.schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

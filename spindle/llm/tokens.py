@@ -11,6 +11,8 @@ import json
 import re
 from array import array
 
+from . import common
+
 #: Unicode White_Space, as the tokenizers' patterns read \s.
 _WS = "\t-\r \x85\xa0  -     　"
 #: A word with the space before it, or a run of white space without the space that leads a word.
@@ -86,6 +88,7 @@ class Encoder(dict):
 
 
 _encoders: dict[str, Encoder] = {}
+common.caches["tokens"] = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:

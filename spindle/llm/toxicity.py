@@ -189,12 +189,12 @@ def _fit(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Model:
     sample = sample.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64("h"), F.lit(4)).cast("int").alias("draw"))
     sample = common.materialize(sample, "labelled")
 
-    stems = sample.select("text", "toxic", "half").mapInArrow(_stems, "stem string, half int, toxic int, n long")
+    stems = sample.select("text", "toxic", "half").mapInArrow(common.frugal(_stems), "stem string, half int, toxic int, n long")
     of = lambda toxic, half: F.sum(F.when((F.col("toxic") == toxic) & (F.col("half") == half), F.col("n")).otherwise(0))
     stems = stems.groupBy("stem").agg(of(1, 0).alias("t0"), of(1, 1).alias("t1"), of(0, 0).alias("c0"), of(0, 1).alias("c1"))
     stems = stems.filter(f"t0 + t1 >= 3 and t0 + t1 >= {MIN_PURITY} * (t0 + t1 + c0 + c1)").collect()
     learned = _select(stems, (0, 1))
-    rows = sample.select("text", "toxic", "half", "draw").mapInArrow(_featured((_select(stems, (0,)), _select(stems, (1,)))), "toxic int, draw int, x array<double>").collect()
+    rows = sample.select("text", "toxic", "half", "draw").mapInArrow(common.frugal(_featured((_select(stems, (0,)), _select(stems, (1,))))), "toxic int, draw int, x array<double>").collect()
     y, draw = np.array([r.toxic for r in rows], float), np.array([r.draw for r in rows])
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(NAMES))
     order = np.lexsort((*x.T, y, draw)) if len(rows) else np.empty(0, int)
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, model: Model, column: str = "toxicity") ->
     common.ship(docs.sparkSession)
     docs = docs.drop(column)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    return docs.mapInArrow(_scored(model, docs.columns.index("text"), schema.names), schema)
+    return docs.mapInArrow(common.frugal(_scored(model, docs.columns.index("text"), schema.names)), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import crc
-from spindle.llm import common, packing, token_files, tokens
+from spindle.llm import common, minhash, packing, token_files, tokens
 
 SF = os.environ.get("TEST_SF_DIR_PADDING", "/root/testdata/sf0.01")
 BYTE, WORDS = (tokens.tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -18,6 +19,24 @@ def test_pieces_encode_as_whole_texts(path, rows):
         assert cut.encode(t) == whole.encode(t), t[:80]
 
 
+def test_workers_forget_and_give_back():
+    """What one operator's tasks keep or free doesn't stay in the worker while others run."""
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024
+
+    def run(batches):
+        for b in batches:
+            held = [pa.array(np.arange(5_000)) for _ in range(5_000)]  # 200 MB in many buffers
+            yield b, len(held)
+
+    list(tokens.encoder(BYTE).encode("some words")), minhash.shingles("some words", 2)
+    before = anonymous()
+    assert list(common.frugal(run, "minhash")(iter([1]))) == [(1, 5_000)]
+    assert not tokens._encoders and minhash._hashes
+    assert anonymous() < before + 60
+
+
 def test_cache_generations_change_nothing(monkeypatch, rows):
     monkeypatch.setattr(tokens, "CACHE_ENTRIES", 5)
     cut, whole = tokens.Encoder(BYTE), tokens.Encoder(BYTE, cut=False)
