@@ -109,10 +109,11 @@ def _pack(path: str, end_id: int, capacity: int, max_piece: int, block_windows:
         pool: list[tuple] = []
         pooled = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    ids = enc.encode(text) + end
+            for some in tokens.slices(batch, 1):
+                flat, ends = enc.encode_all(some.column(1))
+                raw, ends = memoryview(flat).cast("B"), (4 * ends).tolist()
+                for doc_id, a, b in zip(some.column(0).to_pylist(), ends[:-1], ends[1:]):
+                    ids = bytes(raw[a:b]) + end
                     n = len(ids) // 4
                     whole = n - n % capacity
                     for at in range(0, whole, capacity):

@@ -1,7 +1,8 @@
 """Encoding with a public tokenizer file, a bounded cache of encoded words in front of it.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so that the ids of the
-pieces, joined, are the ids of the text. Words repeat, so most pieces are found in the cache.
+pieces, joined, are the ids of the text. Words repeat, so most pieces are found in the cache, and
+the texts of a batch are cut together, so that a piece is looked up once for all of them.
 Tokenizers of other kinds encode each text whole.
 """
 
@@ -10,6 +11,11 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common
 
@@ -27,6 +33,11 @@ _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not i
 CACHE_ENTRIES = 450_000
 CACHE_CHARS = 48
 
+#: Where a cut before each space differs from the pattern's: in runs of white space.
+_RUN = f"[{_WS}] (?:[{_WS}]|\\z)"
+#: Texts that are cut together, and their bytes, unless one alone is larger.
+SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
+
 
 def _cutter(spec: dict):
     """The pattern whose matches can be encoded one by one, or None if the kind isn't known."""
@@ -55,15 +66,10 @@ class Encoder(dict):
         self.old: dict[str, bytes] = {}
         self.pattern = _cutter(json.loads(self.tokenizer.to_str())) if cut else None
 
-    def _ids(self, piece: str) -> bytes:
+    def _ids(self, piece: str, body: str) -> bytes:
         """The ids of a piece. What both kinds of pre-tokenizer leave as it is goes to the model at once."""
-        body = piece[1:] if piece[0] == " " else piece
         if not body.isalpha() or not body.isascii() and max(body) > "\xff":
-            if len(body) > 1 and body[-1] in ".,;:!?" and body[:-1].isalpha() and max(body) <= "\xff":
-                return self[piece[:-1]] + self[body[-1]]  # letters and punctuation are always cut apart
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if self.pattern is _BARE and (low := piece.lower()) != piece:
-            return self[low]
         if piece.isascii():
             mapped = "\u0120" + body if body is not piece else piece
         else:
@@ -71,9 +77,19 @@ class Encoder(dict):
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        """Only pieces that aren't made of others are kept."""
         ids = self.old.get(piece)
         if ids is None:
-            ids = self._ids(piece)
+            body = piece[1:] if piece[:1] == " " else piece
+            if not body.isalpha():
+                if len(body) > 1 and body[-1] in ".,;:!?" and body[:-1].isalpha() and (body.isascii() or max(body) <= "\xff"):
+                    return self[piece[:-1]] + self[body[-1]]  # letters and punctuation are always cut apart
+                parts = self.pattern.findall(piece)
+                if parts != [piece]:
+                    return b"".join(map(self.__getitem__, parts))
+            elif self.pattern is _BARE and (low := piece.lower()) != piece and (body.isascii() or max(body) <= "\xff"):
+                return self[low]
+            ids = self._ids(piece, body)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:  # pieces that are still used move on from the old generation
                 self.old = dict(self)
@@ -86,6 +102,33 @@ class Encoder(dict):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and where each text's begin, then the end of the last.
+
+        The texts are cut at their spaces at once, and each distinct piece is encoded once. A piece
+        that holds other white space is cut again by the pattern.
+        """
+        led = self.pattern is _LED
+        if self.pattern is None or led and pc.any(pc.match_substring_regex(texts, _RUN)).as_py():
+            ids = [self.encode(t) for t in texts.to_pylist()]
+            at = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            return np.frombuffer(b"".join(ids), "<i4"), at
+        cut = pc.split_pattern(texts if led else pc.replace_substring(texts, "\n", " "), " ")
+        at = cut.offsets.to_numpy()
+        found = cut.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        at, place = at - at[0], found.indices.to_numpy()
+        pieces = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if led:  # all pieces but the first of a text have their space before them
+            first, place = place[at[:-1]], place.copy()
+            place[at[:-1]] = len(pieces) + np.arange(len(first))
+            pieces = [" " + p for p in pieces] + [pieces[i] for i in first.tolist()]
+        ids = list(map(self.__getitem__, pieces))
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+        taken = pa.LargeListArray.from_arrays(pa.array(ends), flat).take(pa.array(place))
+        starts = taken.offsets.to_numpy()[at]
+        return taken.values.to_numpy()[starts[0] : starts[-1]], starts - starts[0]
+
 
 _encoders: dict[str, Encoder] = {}
 common.caches["tokens"] = _encoders.clear
@@ -98,6 +141,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts are cut together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        most = SLICE_BYTES + (ends[lo - 1] if lo else 0)
+        hi = max(lo + 1, min(lo + SLICE_ROWS, int(np.searchsorted(ends, most, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

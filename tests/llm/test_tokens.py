@@ -19,6 +19,39 @@ def test_pieces_encode_as_whole_texts(path, rows):
         assert cut.encode(t) == whole.encode(t), t[:80]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_texts_encoded_together_have_the_ids_of_each(path, rows):
+    """Also where white space runs, begins or ends texts, and where words carry marks or capitals."""
+    r = np.random.Generator(np.random.PCG64(11))
+    some = ["".join(r.choice([*" \n\t\r\x85\xa0\x1c\u2003", "  ", "\n ", " \n", "It's", "word", "Word", "NOTE", "end.", "J\u030c", "no.,", "\u00e9t\u00e9", "12", "\u4e2d"], 30)) for _ in range(300)]
+    plain = ["a word, a Word; a word.", "one\ntwo three\n", "\n\nx y", "", "x", "one\ttwo three", "word \nword", "end\n\n"]
+    whole = tokens.Encoder(path, cut=False)
+    for texts in (plain, [t or "" for _, t, *_ in rows], some, [""], ["", ""], []):
+        for array in (pa.array(texts, pa.string()), pa.array(["left out", *texts], pa.string())[1:]):
+            ids, at = tokens.Encoder(path).encode_all(array)
+            assert [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])] == [whole.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_a_piece_is_encoded_once_for_a_batch(path, monkeypatch):
+    """Pieces that are too long for the cache too; marks and capitals take no room in it."""
+    asked, ids = [], tokens.Encoder._ids
+    monkeypatch.setattr(tokens.Encoder, "_ids", lambda self, piece, *a: asked.append(piece) or ids(self, piece, *a))
+    encoder, long = tokens.Encoder(path), "x" * 60
+    encoder.encode_all(pa.array([f"a {long} word word, word." for _ in range(50)]))
+    assert sum(p.strip() == long for p in asked) == 1 and sum(p.strip() == "word" for p in asked) == 1
+    assert not {" word,", " word.", "word,", "word."} & set(encoder)
+
+
+def test_slices_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_ROWS", 3)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["aaaa"] * 4 + ["b" * 50] + ["", None] * 5)], ["text"])
+    parts = list(tokens.slices(batch, 0))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in parts] == [2, 2, 1, 3, 3, 3, 1]
+
+
 def test_workers_forget_and_give_back():
     """What one operator's tasks keep or free doesn't stay in the worker while others run."""
     def anonymous():
