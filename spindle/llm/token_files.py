@@ -25,20 +25,16 @@ BROADCAST_PARTS = 100_000
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at, part = tokens.encoder(path), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                ids = [enc.encode(t) + end for t in some.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(n)
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            for some in tokens.slices(batch, 1):
+                ids, offsets = enc.encode_all(some.column(1))
+                flat = pa.array(np.insert(ids, offsets[1:], np.uint32(end_id).view(np.int32)))
+                offsets = offsets + np.arange(len(offsets))
+                n, ends = np.diff(offsets), offsets[1:]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(at + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, flat)],
+                    [pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(at + ends - n), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)],
                     ["part", "doc_id", "local_start", "n_tokens", "ids"],
                 )
                 at += int(ends[-1])
