@@ -90,7 +90,7 @@ def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the ids that the files hold."""
     common.ship(spark)
     files = read_token_files(spark, path)
-    rows = files.select("part", "doc_id", "local_start", "ids").mapInArrow(common.frugal(_digest), "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "doc_id", "local_start", "ids").mapInArrow(common.frugal(_digest, "tokens"), "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     starts = common.materialize(part_starts(files), "parts")
     if starts.count() <= BROADCAST_PARTS:
         starts = F.broadcast(starts)

@@ -12,6 +12,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +83,9 @@ class Encoder(dict):
         if ids is None:
             body = piece[1:] if piece[:1] == " " else piece
             if not body.isalpha():
-                if len(body) > 1 and body[-1] in ".,;:!?" and body[:-1].isalpha() and (body.isascii() or max(body) <= "\xff"):
-                    return self[piece[:-1]] + self[body[-1]]  # letters and punctuation are always cut apart
+                word = body.rstrip(punctuation)
+                if word != body and word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                    return self[piece[: len(word) - len(body)]] + self[body[len(word) :]]  # letters and marks are always cut apart
                 parts = self.pattern.findall(piece)
                 if parts != [piece]:
                     return b"".join(map(self.__getitem__, parts))

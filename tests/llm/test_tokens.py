@@ -23,7 +23,7 @@ def test_pieces_encode_as_whole_texts(path, rows):
 def test_texts_encoded_together_have_the_ids_of_each(path, rows):
     """Also where white space runs, begins or ends texts, and where words carry marks or capitals."""
     r = np.random.Generator(np.random.PCG64(11))
-    some = ["".join(r.choice([*" \n\t\r\x85\xa0\x1c\u2003", "  ", "\n ", " \n", "It's", "word", "Word", "NOTE", "end.", "J\u030c", "no.,", "\u00e9t\u00e9", "12", "\u4e2d"], 30)) for _ in range(300)]
+    some = ["".join(r.choice([*" \n\t\r\x85\xa0\x1c\u2003", "  ", "\n ", " \n", "It's", "word", "Word", "NOTE", "end.", "$$$", "'", "(6)", "J\u030c", "no.,", "\u00e9t\u00e9", "12", "\u4e2d"], 30)) for _ in range(300)]
     plain = ["a word, a Word; a word.", "one\ntwo three\n", "\n\nx y", "", "x", "one\ttwo three", "word \nword", "end\n\n"]
     whole = tokens.Encoder(path, cut=False)
     for texts in (plain, [t or "" for _, t, *_ in rows], some, [""], ["", ""], []):
@@ -38,8 +38,8 @@ def test_a_piece_is_encoded_once_for_a_batch(path, monkeypatch):
     asked, ids = [], tokens.Encoder._ids
     monkeypatch.setattr(tokens.Encoder, "_ids", lambda self, piece, *a: asked.append(piece) or ids(self, piece, *a))
     encoder, long = tokens.Encoder(path), "x" * 60
-    encoder.encode_all(pa.array([f"a {long} word word, word." for _ in range(50)]))
-    assert sum(p.strip() == long for p in asked) == 1 and sum(p.strip() == "word" for p in asked) == 1
+    encoder.encode_all(pa.array([f"a {long} word word, word. word%%% word?!" for _ in range(50)]))
+    assert sum(p.strip() == long for p in asked) == 1 and sum(p.strip().startswith("word") for p in asked) == 1
     assert not {" word,", " word.", "word,", "word."} & set(encoder)
 
 
