@@ -1,4 +1,5 @@
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,36 @@ def test_a_piece_is_encoded_once_for_a_batch(path, monkeypatch):
     assert not {" word,", " word.", "word,", "word."} & set(encoder)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_pieces_met_before_are_not_asked_one_by_one(path, monkeypatch):
+    """Also those with marks, capitals or a line end inside."""
+    encoder, texts = tokens.Encoder(path), pa.array(["word, Word. don't (word) \u00c9t\u00e9!", "end.\nWord 12,5 word?!\n"])
+    ids, _ = encoder.encode_all(texts)
+    asked, missing = [], tokens.Encoder.__missing__
+    monkeypatch.setattr(tokens.Encoder, "__missing__", lambda self, piece: asked.append(piece) or missing(self, piece))
+    assert encoder.encode_all(texts)[0].tolist() == ids.tolist() and not asked
+
+
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+@pytest.mark.parametrize("entries, at_once", [(5, 40), (300, 400), (1_000_000, 1 << 19)])
+def test_table_changes_nothing(path, entries, at_once, monkeypatch, rows):
+    """However full it is, and however long the words are; line ends stand beside anything."""
+    monkeypatch.setattr(tokens, "TABLE_ENTRIES", entries)
+    monkeypatch.setattr(tokens, "WORDS_BYTES", at_once)
+    r = np.random.Generator(np.random.PCG64(12))
+    bits = [*" \n\t\xa0\u2003\x85\x1c\0.,'!", " ", ".\n", "a\n", "\nb", ".\u00c9", "\n\u00c9", "a\nb\nc", "\u00c0\u00de\u00d7\u00f7\u00df\u00ff", "\u00aa\u00b5", "x" * 23, "y" * 24, "\u00e9" * 12, "Z" * 45, "'s", "n't", "12", "\u0130", "\u4e2d", "e\u0301"]
+    some = ["".join(r.choice(bits, r.integers(1, 9))) + " " + "".join(r.choice([*"abcABC\u00e9"], 5)) for _ in range(600)]
+    cut, whole = tokens.Encoder(path), tokens.Encoder(path, cut=False)
+    for texts in (some[:300], [t or "" for _, t, *_ in rows], [""], [], some[300:], some[:300]):
+        want = [whole.encode(t) for t in texts]
+        for kind in (pa.string(), pa.large_string()):
+            ids, at = cut.encode_all(pa.array([t for t in texts if not re.search(tokens._RUN.replace("z", "Z"), t)], kind))
+            assert [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])] == [w for t, w in zip(texts, want) if not re.search(tokens._RUN.replace("z", "Z"), t)]
+    table = cut.table
+    assert table.kept == table.size < entries + at_once
+    assert table.find(table.pieces[: table.kept]).tolist() == list(range(table.kept))
+
+
 def test_slices_hold_all_rows(monkeypatch):
     monkeypatch.setattr(tokens, "SLICE_ROWS", 3)
     monkeypatch.setattr(tokens, "SLICE_BYTES", 10)
